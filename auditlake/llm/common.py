@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words whose hashes a Python worker remembers at most; beyond it the memory starts anew.
 HASH_CACHE = 1_000_000
+#: Rows of an Arrow batch at most: texts and sets are long, and a batch is held in memory.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    at = Path(os.path.realpath(tempfile.mkdtemp(prefix="spark-"))) / f"{top.name}.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(str(at))
+    _shipped.add(context.applicationId)
+
+
+_shipped: set[str] = set()
+
+
 class Scratch:
     """Tables written to the shared folder, so that lost executors never lose a finished step.
 
@@ -42,6 +63,9 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditlake.llm.minhash import near_duplicates
 from auditlake.llm.secrets import secret_scan
 
 
@@ -17,8 +18,15 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_scan": op1_secret_scan}
+    return {
+        "op1_secret_scan": op1_secret_scan,
+        "op2_minhash_dedup": op2_minhash_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
