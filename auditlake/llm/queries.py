@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.llm.binary import token_table
+from auditlake.llm.langid import language_id
 from auditlake.llm.minhash import near_duplicates
 from auditlake.llm.packing import pack_documents
 from auditlake.llm.secrets import secret_scan
@@ -33,10 +34,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_minhash_dedup": op2_minhash_dedup,
+        "op6_language_id": op6_language_id,
         "op9_token_files": op9_token_files,
         "op10_packing": op10_packing,
     }
