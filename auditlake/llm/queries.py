@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from auditlake.llm.binary import token_table
 from auditlake.llm.langid import language_id
 from auditlake.llm.minhash import near_duplicates
+from auditlake.llm.mixing import mix_sources
 from auditlake.llm.packing import pack_documents
 from auditlake.llm.secrets import secret_scan
 
@@ -38,11 +39,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_minhash_dedup": op2_minhash_dedup,
         "op6_language_id": op6_language_id,
+        "op7_mixing": op7_mixing,
         "op9_token_files": op9_token_files,
         "op10_packing": op10_packing,
     }
