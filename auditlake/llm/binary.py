@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import Scratch, frames, local_path
+from auditlake.llm.common import Scratch, local_path, slices
 from auditlake.llm.encode import encoder
 
 #: Stands for a null document id in the files.
@@ -20,22 +21,22 @@ NO_ID = -(2**63)
 
 
 def _writer(folder: str, tokenizer: str, end_id: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         name, mine = f"{folder}/part-{task.partitionId():06d}", f".{task.taskAttemptId()}"
-        enc, ids, sizes = encoder(tokenizer), [], []
+        enc = encoder(tokenizer)
         files = {x: open(f"{name}.{x}{mine}", "wb") for x in ("tok", "off", "doc")}  # noqa: SIM115
         np.zeros(1, "<u8").tofile(files["off"])
         total = docs = 0
-        for b in frames(batches, 500):
-            ids = b["doc_id"].astype("Int64").fillna(NO_ID).to_numpy(np.int64)
+        for b in slices(batches, 500):
+            ids = b["doc_id"].fill_null(NO_ID).to_numpy(zero_copy_only=False)
             sizes = []
-            for x in enc.encode(b["text"].tolist()):
+            for x in enc.encode(b["text"].to_pylist()):
                 files["tok"].write(x.tobytes() + np.array([end_id], enc.dtype).tobytes())
                 sizes.append(len(x) + 1)
             (total + np.cumsum(sizes)).astype("<u8").tofile(files["off"])
             ids.astype("<i8").tofile(files["doc"])
-            total, docs = total + sum(sizes), docs + len(b)
+            total, docs = total + sum(sizes), docs + b.num_rows
         for x, f in files.items():
             f.close()
             if docs:
@@ -43,7 +44,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
             else:
                 os.unlink(f"{name}.{x}{mine}")
         if docs:
-            yield pd.DataFrame({"part": [task.partitionId()], "file": [name], "docs": [docs], "tokens": [total], "width": [enc.dtype.itemsize]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "file": [name], "docs": [docs], "tokens": [int(total)], "width": pa.array([enc.dtype.itemsize], pa.int32())})
 
     return run
 
@@ -67,7 +68,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     os.makedirs(path, exist_ok=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("_h", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
-    done = scratch.cut(ordered.mapInPandas(_writer(path, tokenizer, end_id), "part int, file string, docs long, tokens long, width int"))
+    done = scratch.cut(ordered.mapInArrow(_writer(path, tokenizer, end_id), "part int, file string, docs long, tokens long, width int"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return done.select("*", F.coalesce(F.sum("docs").over(before), F.lit(0)).alias("first_doc"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first_token"))
 
@@ -86,7 +87,7 @@ def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """One row per document, read from the memory-mapped files: ``doc_id, start, n_tokens, ids_crc32``."""
-    spread = manifest.select("file", "width", "first_token").repartition("file")
+    spread = manifest.select("file", "width", "first_token").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "file")
     return spread.mapInPandas(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,11 +144,11 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     return np.unique(gram_hashes(h, min(k, len(h)))) if len(h) else np.empty(0, np.uint64)
 
 
-def frames(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows each."""
     for b in batches:
-        for i in range(0, len(b), rows):
-            yield b.iloc[i : i + rows]
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:

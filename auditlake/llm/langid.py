@@ -7,12 +7,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from auditlake.llm.common import frames, ship
+from auditlake.llm.common import ship, slices
 
 #: Languages by family. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -116,9 +116,10 @@ class Model:
         return out, score
 
 
-def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in frames(batches, 500):
-        yield pd.DataFrame({"lang": b["lang"], "x": [r.tobytes() for r in features(b["text"].tolist()).astype(np.float16)]})
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, 500):
+        x = features(b["text"].to_pylist()).astype(np.float16)
+        yield pa.RecordBatch.from_pydict({"lang": b["lang"], "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
 
 def train(labelled: DataFrame, per_language: int = 800, families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
@@ -133,7 +134,7 @@ def train(labelled: DataFrame, per_language: int = 800, families: dict[str, tupl
     pick: Column = F.lit(False)
     for lang, p in share.items():
         pick |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(p * 1_000_000))
-    got = rows.filter(pick).select("lang", "text").mapInPandas(_sampled, "lang string, x binary").collect()
+    got = rows.filter(pick).select("lang", "text").mapInArrow(_sampled, "lang string, x binary").collect()
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, 4096), np.float32)
     return Model(x, [r["lang"] for r in got], families)
 
@@ -144,13 +145,13 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), text_col
     text = docs.select(*keep, F.col(text_col).alias("_text_"))
     names = list(keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in frames(batches, 500):
-            lang, score = model.predict(b["_text_"].tolist())
-            yield b[names].assign(lang_pred=lang, score=score)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 500):
+            lang, score = model.predict(b["_text_"].to_pylist())
+            yield pa.RecordBatch.from_pydict({n: b[n] for n in names} | {"lang_pred": lang, "score": pa.array(score, pa.float64())})
 
     out = StructType([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double")
-    return text.mapInPandas(run, out)
+    return text.mapInArrow(run, out)
 
 
 def held_out(id_col: str, parts: int = 4, part: int = 2) -> Column:

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import Scratch, components, frames, mix, shingles
+from auditlake.llm.common import Scratch, components, mix, shingles, slices
 
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -55,23 +56,23 @@ def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _sketches(k: int, bands: int, rows: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in frames(batches, 500):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 500):
             n, keys, band = [], [], []
-            for text in b["text"]:
+            for text in b["text"].to_pylist():
                 s = shingles(text, k)
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"")
                 band.append(band_keys(fast_sketch(s, bands * rows), rows).view(np.int64) if len(s) else np.empty(0, np.int64))
-            yield pd.DataFrame({"id": b["id"], "n": n, "key": keys, "bands": band})
+            yield pa.RecordBatch.from_pydict({"id": b["id"], "n": n, "key": pa.array(keys, pa.binary()), "bands": pa.array(band, pa.list_(pa.int64()))})
 
     return run
 
 
 def _sets(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in frames(batches, 500):
-            yield pd.DataFrame({"id": b["id"], "items": [shingles(t, k).tobytes() for t in b["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 500):
+            yield pa.RecordBatch.from_pydict({"id": b["id"], "items": pa.array([shingles(t, k).tobytes() for t in b["text"].to_pylist()], pa.binary())})
 
     return run
 
@@ -111,7 +112,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = scratch.cut(base.mapInPandas(_sketches(k, bands, rows), "id long, n long, key binary, bands array<long>"))
+    sketched = scratch.cut(base.mapInArrow(_sketches(k, bands, rows), "id long, n long, key binary, bands array<long>"))
     real = sketched.filter("n > 0 AND id IS NOT NULL")
     classes = scratch.cut(real.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     spread = classes.select("id", "n", F.explode("bands").alias("band"))
@@ -124,7 +125,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def confirm(pairs: DataFrame) -> DataFrame:
         nodes = scratch.cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-        sets = scratch.cut(base.join(nodes, "id", "left_semi").mapInPandas(_sets(k), "id long, items binary").filter(F.length("items") > 0).distinct())
+        sets = scratch.cut(base.join(nodes, "id", "left_semi").mapInArrow(_sets(k), "id long, items binary").filter(F.length("items") > 0).distinct())
         left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
         right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
         out = scratch.cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(_verify(percent), "a long, b long").distinct())

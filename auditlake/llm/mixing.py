@@ -14,7 +14,7 @@ from auditlake.llm.common import WORD, Scratch
 #: Documents of a source that the landing decides together.
 LANDING = 12
 _TINY = 1e-9
-_SCHEMA = "doc_id long, h long, sid int, size long, base int, pi double, block int"
+_COLUMNS = ("doc_id", "h", "sid", "size", "base", "pi", "block")
 
 
 def flight(sizes: list[int], pi: list[float], rng: random.Random, spare: int = 0) -> list[float]:
@@ -89,7 +89,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], most: float) ->
     return per.select("source", "sid", "source_size", "docs", F.coalesce(F.least("cap", F.col("fit") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, block: int = 1000) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, block: int = 1000, carry: tuple[str, ...] = ()) -> DataFrame:
     """Choose how often each document is taken so that sources meet their target sizes.
 
     Sources in code point order, null last, get ``weights`` in turn; see :func:`source_targets`. A
@@ -102,12 +102,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns a row per input row: ``doc_id, source, size`` (words of the text; null: 0),
     ``source_size, target`` (of its source), ``taken`` (size times copies) and ``copies`` (0 to
-    ``most``). Repeated rows are documents of their own, and so are rows with a null id. A source
+    ``most``), then the columns named in ``carry``. Repeated rows are documents of their own, and so are rows with a null id. A source
     without words has target 0 and is not taken. An empty table gives no row.
     """
     scratch = Scratch(docs.sparkSession)
     size = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(F.col(text_col), F.lit(WORD))).cast("long")
-    rows = scratch.cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")))
+    rows = scratch.cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *[F.col(c).alias(f"carry_{c}") for c in carry]))
     per = scratch.cut(source_targets(rows, weights, most))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate + _TINY)
@@ -115,11 +115,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     state = rows.join(per.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).select(
         "doc_id", h.alias("h"), "sid", "size", whole.cast("int").alias("base"),
         F.greatest(F.lit(0.0), rate - whole).alias("pi"), F.pmod(h, F.ceil(F.col("docs") / block)).cast("int").alias("block"),
+        *[f"carry_{c}" for c in carry],
     )
     blocks, done, level = -(-(per.agg(F.max("docs")).first()[0] or 1) // block), None, 0
+    schema = state.select(*_COLUMNS, *[f"carry_{c}" for c in carry]).schema
     while True:
         last = blocks == 1
-        flown = scratch.cut(state.groupBy("sid", "block").applyInPandas(_flown(level, last), _SCHEMA))
+        flown = scratch.cut(state.groupBy("sid", "block").applyInPandas(_flown(level, last), schema))
         settled = flown.filter("pi = 0 OR pi = 1")
         done = settled if done is None else done.unionByName(settled)
         if last:
@@ -130,4 +132,4 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = F.col("base") + F.col("pi").cast("int")
     named = per.select("sid", "source", "source_size", "target")
     out = done.join(named, "sid")
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), *[F.col(f"carry_{c}").alias(c) for c in carry if c not in ("doc_id", "source")])

@@ -7,14 +7,15 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import Scratch, frames
+from auditlake.llm.common import Scratch, slices
 from auditlake.llm.encode import encoder
 
+_ARROW = pa.schema([(n, pa.int32() if n in ("part", "chunk", "tier") else pa.int64()) for n in ("part", "chunk", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "seq", "offset", "tier", "step")] + [("ids", pa.list_(pa.int32()))])
 _SCHEMA = "part int, chunk int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, seq long, offset long, tier int, step long, ids array<int>"
 
 
@@ -84,7 +85,7 @@ def step_groups(windows: list[list[tuple[int, int, int]]], size: int) -> list[in
 
 
 def _packer(tokenizer: str, end_id: int, tiers: tuple[int, ...], docs_at_once: int, tokens_at_once: int, step_size: int, with_ids: bool):
-    def rows(part: int, chunk: int, names: list, ids: list[np.ndarray]) -> pd.DataFrame:
+    def rows(part: int, chunk: int, names: list, ids: list[np.ndarray]) -> pa.RecordBatch:
         windows = pack([len(x) for x in ids], tiers)
         steps, out = step_groups(windows, step_size), []
         for seq, w in enumerate(windows):
@@ -93,17 +94,16 @@ def _packer(tokenizer: str, end_id: int, tiers: tuple[int, ...], docs_at_once: i
                 piece = ids[d][s : s + n]
                 out.append((part, chunk, names[d], s, n, zlib.crc32(piece.astype("<u4").tobytes()), len(ids[d]), seq, offset, tier, steps[seq], piece.astype(np.int32) if with_ids else None))
                 offset += n
-        frame = pd.DataFrame(out, columns=["part", "chunk", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "seq", "offset", "tier", "step", "ids"])
-        return frame.astype({"doc_id": "Int64"})
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, chunk = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], enc.dtype)
         names, ids, held = [], [], 0
-        for b in frames(batches, 500):
-            names += [None if pd.isna(x) else int(x) for x in b["doc_id"]]
-            ids += [np.concatenate([x, end]) for x in enc.encode(b["text"].tolist())]
-            held += sum(map(len, ids[-len(b) :]))
+        for b in slices(batches, 500):
+            names += b["doc_id"].to_pylist()
+            ids += [np.concatenate([x, end]) for x in enc.encode(b["text"].to_pylist())]
+            held += sum(map(len, ids[-b.num_rows :]))
             if len(ids) >= docs_at_once or held >= tokens_at_once:
                 yield rows(part, chunk, names, ids)
                 names, ids, held, chunk = [], [], 0, chunk + 1
@@ -129,7 +129,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tupl
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = scratch.cut(rows.mapInPandas(_packer(tokenizer, end_id, tiers, docs_at_once, tokens_at_once, step_size, with_ids), _SCHEMA))
+    pieces = scratch.cut(rows.mapInArrow(_packer(tokenizer, end_id, tiers, docs_at_once, tokens_at_once, step_size, with_ids), _SCHEMA))
     sizes = pieces.groupBy("part", "chunk").agg((F.max("seq") + 1).alias("seqs"), (F.max("step") + 1).alias("steps"))
     before = Window.orderBy("part", "chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = scratch.cut(sizes.select("part", "chunk", F.coalesce(F.sum("seqs").over(before), F.lit(0)).alias("seq0"), F.coalesce(F.sum("steps").over(before), F.lit(0)).alias("step0")))
