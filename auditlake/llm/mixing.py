@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,11 +58,12 @@ def land(sizes: list[int], pi: list[float]) -> list[float]:
 
 
 def _flown(level: int, last: bool):
-    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["h", "doc_id", "size"], kind="stable", ignore_index=True)
-        sizes = b["size"].tolist()
-        pi = flight(sizes, b["pi"].tolist(), random.Random(f"{level}:{key[0]}:{key[1]}"), LANDING - 2 if last else 0)
-        return b.assign(pi=land(sizes, pi) if last else pi)
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        t = t.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("size", "ascending")])
+        sizes, pi = t["size"].to_pylist(), t["pi"].to_pylist()
+        rng = random.Random(f"{level}:{key[0].as_py()}:{key[1].as_py()}")
+        pi = flight(sizes, pi, rng, LANDING - 2 if last else 0)
+        return t.set_column(t.schema.get_field_index("pi"), "pi", pa.array(land(sizes, pi) if last else pi, pa.float64()))
 
     return run
 
@@ -121,7 +122,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = state.select(*_COLUMNS, *[f"carry_{c}" for c in carry]).schema
     while True:
         last = blocks == 1
-        flown = scratch.cut(state.groupBy("sid", "block").applyInPandas(_flown(level, last), schema))
+        flown = scratch.cut(state.groupBy("sid", "block").applyInArrow(_flown(level, last), schema))
         settled = flown.filter("pi = 0 OR pi = 1")
         done = settled if done is None else done.unionByName(settled)
         if last:

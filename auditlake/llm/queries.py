@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.llm.binary import token_table
+from auditlake.llm.caps import near_vectors
 from auditlake.llm.langid import language_id
 from auditlake.llm.minhash import near_duplicates
 from auditlake.llm.mixing import mix_sources
@@ -43,14 +45,20 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op3_cap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_minhash_dedup": op2_minhash_dedup,
+        "op3_cap_dedup": op3_cap_dedup,
         "op6_language_id": op6_language_id,
         "op7_mixing": op7_mixing,
         "op9_token_files": op9_token_files,
         "op10_packing": op10_packing,
+        "pipeline": pipeline,
     }
 
 
