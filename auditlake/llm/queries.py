@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.llm.binary import token_table
 from auditlake.llm.caps import near_vectors
+from auditlake.llm.graph import nearest
 from auditlake.llm.langid import language_id
 from auditlake.llm.minhash import near_duplicates
 from auditlake.llm.mixing import mix_sources
@@ -49,11 +50,17 @@ def op3_cap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_minhash_dedup": op2_minhash_dedup,
         "op3_cap_dedup": op3_cap_dedup,
+        "op4_nearest": op4_nearest,
         "op6_language_id": op6_language_id,
         "op7_mixing": op7_mixing,
         "op9_token_files": op9_token_files,
