@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from auditlake.llm.binary import token_table
 from auditlake.llm.caps import near_vectors
 from auditlake.llm.graph import nearest
+from auditlake.llm.katz import katz_scores
 from auditlake.llm.langid import language_id
 from auditlake.llm.minhash import near_duplicates
 from auditlake.llm.mixing import mix_sources
@@ -55,6 +56,10 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_nearest": op4_nearest,
         "op6_language_id": op6_language_id,
         "op7_mixing": op7_mixing,
+        "op8_katz_scores": op8_katz_scores,
         "op9_token_files": op9_token_files,
         "op10_packing": op10_packing,
         "pipeline": pipeline,
