@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.llm.binary import token_table
 from auditlake.llm.caps import near_vectors
+from auditlake.llm.chaining import repeated_passages
 from auditlake.llm.graph import nearest
 from auditlake.llm.katz import katz_scores
 from auditlake.llm.langid import language_id
@@ -60,12 +61,17 @@ def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(_table(spark, sf_dir, "documents"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_minhash_dedup": op2_minhash_dedup,
         "op3_cap_dedup": op3_cap_dedup,
         "op4_nearest": op4_nearest,
+        "op5_passages": op5_passages,
         "op6_language_id": op6_language_id,
         "op7_mixing": op7_mixing,
         "op8_katz_scores": op8_katz_scores,
