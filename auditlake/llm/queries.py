@@ -77,7 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_katz_scores": op8_katz_scores,
         "op9_token_files": op9_token_files,
         "op10_packing": op10_packing,
-        "pipeline": pipeline,
+        "pipeline": corpus_pipeline.run,
     }
 
 
