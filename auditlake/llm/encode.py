@@ -9,10 +9,13 @@ import re
 import numpy as np
 
 #: Pieces whose ids a Python worker remembers at most; beyond it the memory starts anew.
-PIECE_CACHE = 600_000
+PIECE_CACHE = 1_500_000
 #: A single space between two other characters. A byte-level pre-tokenizer never joins what such
 #: a space separates, and always starts a new piece with it.
 _GAP = re.compile(r" (?<=\S )(?=\S)")
+#: Where none of these occurs, every single space is such a gap.
+_RUNS = tuple(x for w in " \n\t\r\x0b\x0c" for x in (w + " ", " " + w))
+_OTHER = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _open: dict[str, Encoder] = {}
 
 
@@ -42,34 +45,36 @@ class Encoder:
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         if len(self.known) + len(pieces) > PIECE_CACHE:
             self.known.clear()
-        simple = [p for p in pieces if " " not in p and p == p.strip()]
-        for i in range(0, len(simple), 20_000):
-            some = simple[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, self.dtype)
-            at = np.flatnonzero(self.leads[ids])
+        known, simple, odd = self.known, [], []
+        for p in pieces:
+            (odd if " " in p or p[:1].isspace() or p[-1:].isspace() else simple).append(p)
+        groups = [simple[i : i + 500] for i in range(0, len(simple), 500)]
+        width = self.dtype.itemsize
+        for some, got in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, self.dtype)
+            at = (np.flatnonzero(self.leads[ids]) * width).tolist()
             if len(at) != len(some):  # a piece that isn't what it seems: one by one
-                self.known.update((p, self._plain(" " + p)) for p in some)
+                odd += some
                 continue
-            raw, ends = ids.tobytes(), [*(at[1:] * self.dtype.itemsize).tolist(), ids.nbytes]
-            begin = 0
-            for p, end in zip(some, ends, strict=True):
-                self.known[p] = raw[begin:end]
-                begin = end
-        for p in pieces.difference(simple):
-            self.known[p] = self._plain(" " + p)
+            raw = ids.tobytes()
+            for p, begin, end in zip(some, at, [*at[1:], len(raw)], strict=True):
+                known[p] = raw[begin:end]
+        for p in odd:
+            known[p] = self._plain(" " + p)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.by_piece:
             return [np.frombuffer(self._plain(t or ""), self.dtype) for t in texts]
-        split = [_GAP.split(t) if t else [""] for t in texts]
-        wanted = set().union(*(p[1:] for p in split))
-        if missing := wanted.difference(self.known):
-            self._learn(missing)
-            if len(missing) < len(wanted) and (gone := wanted.difference(self.known)):
-                self._learn(gone)
+        split = [[""] if not t else (_GAP.split(t) if any(x in t for x in _RUNS) or _OTHER.search(t) else t.split(" ")) for t in texts]
+        for _ in range(2):  # the memory may start anew while it learns
+            known = self.known
+            missing = {x for p in split for x in p[1:] if x not in known}
+            if not missing:
+                break
+            self._learn(list(missing))
         known = self.known.__getitem__
         return [np.frombuffer(self._plain(p[0]) + b"".join(map(known, p[1:])), self.dtype) for p in split]
 
