@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.sources.logs import parse_sqllog
-from auditlake.storage import files_of, rename, shared_folder
+from auditlake.storage import rename, shared_folder, stat_files
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def write_log_files(spark: SparkSession, sf_dir: str) -> str:
     folder = shared_folder(spark, "logs")
     lines = log_lines(spark, sf_dir).repartition("file").sortWithinPartitions("file", "pos")
     lines.select("value", "file").write.partitionBy("file").text(f"{folder}/by")
-    rename(spark, [(p, f"{folder}/{p.split('file=')[1].split('/')[0]}") for p in files_of(spark, f"{folder}/by", "file=*/part-*")])
+    rename(spark, [(p, f"{folder}/{p.split('file=')[1].split('/')[0]}") for _, p, _, _ in stat_files(spark, f"{folder}/by", "file=*/part-*")])
     return folder
 
 

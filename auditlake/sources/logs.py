@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from auditlake.storage import stat_files
+
 #: A record. The groups are time, endpoint, session, thread, user, transaction, statement,
 #: application, address, tag, text, milliseconds, rows, execution id.
 RECORD = (
@@ -33,8 +35,7 @@ def scan_logs(spark: SparkSession, path: str, tolerant: bool = False) -> DataFra
 
 def list_logs(spark: SparkSession, path: str) -> DataFrame:
     """``file, path, size, mtime`` (milliseconds) of the log files of a folder, empty ones included."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(path)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
+    return spark.createDataFrame(stat_files(spark, path, "*.log"), "file string, path string, size long, mtime long")
 
 
 def decode_gb18030(spark: SparkSession, path: str) -> DataFrame:

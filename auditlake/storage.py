@@ -21,8 +21,8 @@ def rename(spark: SparkSession, moves: list[tuple[str, str]]) -> None:
         path(old).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(old), path(new))
 
 
-def files_of(spark: SparkSession, folder: str, pattern: str = "*") -> list[str]:
-    """Paths that match a pattern below a folder."""
+def stat_files(spark: SparkSession, folder: str, pattern: str = "*") -> list[tuple[str, str, int, int]]:
+    """Name, path, size and time of the files that match a pattern below a folder, by path."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(f.getPath().toString() for f in found or [])
+    return sorted(((f.getPath().getName(), f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found or []), key=lambda f: f[1])
