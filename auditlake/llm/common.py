@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -80,6 +81,15 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
+    def tidy(self) -> None:
+        """Let the shuffle files of finished steps go now.
+
+        Spark removes them once the driver has collected the plans that made them, which a driver
+        with memory to spare does late; after a step with a large shuffle it is worth asking.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark._jvm
