@@ -169,6 +169,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     told = weight.join(degree.withColumnRenamed("a", "id"), "id", "left").join(comps, "id", "left")
     told = told.select(F.col("id").alias("rep"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     part = scratch.cut(classes.select("label", "k1", "k2", F.col("id").alias("rep")).join(told, "rep").select("label", "k1", "k2", "n_links", "component_id"))
+    scratch.keep(part)
     good = keyed.filter("ok").select("id", "label", "k1", "k2").join(part, ["label", "k1", "k2"]).select("id", "n_links", "component_id")
     rest = keyed.filter("NOT ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return good.unionByName(rest).select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

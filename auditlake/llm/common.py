@@ -70,6 +70,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        self.tables: list[DataFrame] = []  # so that no number of a table is used twice
         self.n = 0
 
     def cut(self, df: DataFrame) -> DataFrame:
@@ -79,6 +80,7 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
+        self.tables.append(out)
         return out
 
     def tidy(self) -> None:
@@ -92,10 +94,19 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t)))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.paths.pop(id(t)))
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        kept = {id(t): self.paths[id(t)] for t in tables}
+        for path in set(self.paths.values()) - set(kept.values()):
+            self._delete(path)
+        self.paths = kept
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def local_path(path: str) -> str:

@@ -220,5 +220,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     right = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", all_(shards))
     found = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(_search(beam, k), "query_id long, vec_id long, score double")
     found = scratch.cut(found)
+    scratch.keep(found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

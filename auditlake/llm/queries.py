@@ -8,6 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from auditlake.llm import oracles
 from auditlake.llm.binary import token_table
 from auditlake.llm.caps import near_vectors
 from auditlake.llm.chaining import repeated_passages
@@ -82,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_secret_scan": oracles.OP1, "op2_minhash_dedup": oracles.OP2, "op3_cap_dedup": oracles.OP3}

@@ -113,6 +113,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = lists.select("_key", F.explode("_spans").alias("s")).select("_key", "s", F.col("s.hash").alias("hash"))
     told = each.join(wide, "hash", "left").select("_key", F.struct(F.col("s.kind").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("wide").isNull().alias("live")).alias("s"))
     told = scratch.cut(told.groupBy("_key").agg(F.collect_list("s").alias("_told")))
+    scratch.keep(scan, told)
     none = F.array().cast("array<struct<kind:string,start:int,end:int,live:boolean>>")
     out = some.withColumn("_key", F.sha2(F.to_json("_spans"), 256)).join(told, "_key").drop("_key")
     out = out.unionByName(scan.filter(F.size("_spans") == 0).withColumn("_told", none))

@@ -40,14 +40,20 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Credentials that look live are masked; widely copied examples and all other text stay."""
-    found = secret_scan(docs, carry=("text", "lang", "source", "n_chars"))
-    text = redact(F.col("text"), F.col("live_spans"))
-    return found.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_live") > 0, F.length(text)).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
+    keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row"))
+    live = secret_scan(keyed, carry=("row",)).filter("n_live > 0").select("row", "live_spans").dropDuplicates(["row"])
+    some = F.col("live_spans").isNotNull()
+    text = F.when(some, redact(F.col("text"), F.col("live_spans"))).otherwise(F.col("text"))
+    masked = keyed.join(live, "row", "left").withColumn("text", text)
+    return masked.withColumn("n_chars", F.when(some, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents appear as often as the mix takes them, which may be not at all."""
-    mixed = mix_sources(docs, carry=("text", "lang", "n_chars")).filter("copies > 0")
+    keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row"))
+    # equal rows are one row that appears as often as all of them together
+    copies = mix_sources(keyed, carry=("row",)).groupBy("row").agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0")
+    mixed = keyed.dropDuplicates(["row"]).join(copies, "row")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
