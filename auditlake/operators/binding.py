@@ -21,9 +21,9 @@ def bind_params(records: DataFrame, style: str | None = None) -> DataFrame:
     """
     if style not in (None, "sequential", "ordinal"):
         raise ValueError(f"{style}: no such style")
-    # only the tail of a record, and only its first few characters, tell the two kinds apart
     given = F.col("tag").isNull() & F.col("sql").startswith("PARAMS(")
-    marked = records.withColumn("_p", F.when(F.col("tag").isin(*DML_TAGS), placeholders(F.col("sql")))).withColumn("_given", F.coalesce(given, F.lit(False)))
+    found = F.when(F.col("tag").isin(*DML_TAGS), placeholders(F.col("sql")))
+    marked = records.withColumn("_p", F.explode(F.array(found))).withColumn("_given", F.coalesce(given, F.lit(False)))
     takes = F.coalesce(F.col("_p.n") > 0, F.lit(False))
     window = Window.partitionBy("file", "sess_id", "statement").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     busy = marked.filter(takes | F.col("_given")).withColumn("_v", F.last(F.when(F.col("_given"), params(F.col("sql"))), ignorenulls=True).over(window))

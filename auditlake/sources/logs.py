@@ -76,7 +76,8 @@ def parse_sqllog(lines: DataFrame) -> DataFrame:
     """
     order = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14, 11)
     laid = F.split(F.regexp_replace("value", RECORD, _MARK.join(f"${i}" for i in order)), _MARK, len(order))
-    rows = lines.withColumn("_f", laid).withColumn("parse_ok", F.coalesce(F.size("_f") == len(order), F.lit(False)))
+    # behind a generator the pattern runs once a row, whatever is filtered or selected above it
+    rows = lines.withColumn("_f", F.explode(F.array(laid))).withColumn("parse_ok", F.coalesce(F.size("_f") == len(order), F.lit(False)))
 
     def part(i: int) -> Column:
         return F.when(F.col("parse_ok"), F.try_element_at("_f", F.lit(i)))
