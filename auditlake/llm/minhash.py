@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import Scratch, components, mix, shingles, slices
@@ -77,6 +77,16 @@ def _sets(k: int):
     return run
 
 
+def _items(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 200):
+            sets = [shingles(t, k).view(np.int64) for t in b["text"].to_pylist()]
+            sizes = [len(s) for s in sets]
+            yield pa.RecordBatch.from_pydict({"id": np.repeat(b["id"].to_numpy(), sizes), "n": np.repeat(np.array(sizes, np.int64), sizes), "item": np.concatenate([np.empty(0, np.int64), *sets])})
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -93,7 +103,7 @@ def _verify(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, star_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, star_rounds: int = 2) -> DataFrame:
     """Group documents whose sets of ``k``-word shingles overlap by ``percent`` of their union or more.
 
     Documents with the same set are first taken as one. The others meet in the bands of their
@@ -101,9 +111,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``(1 - (percent/100) ** rows) ** bands`` (5e-6 by default). Candidates are confirmed on the
     full sets. To join the groups without emitting all pairs of a large bucket, every bucket
     first compares its members with one of them (``star_rounds`` times, with another one each
-    time and only members not yet in the same component); buckets that still hold several
-    components afterwards compare all their pairs across components. No pair of a bucket is left
-    out unless its two documents are in one component already.
+    time and only members not yet in the same component). Members of buckets that still hold
+    several components afterwards are compared by prefix: sets that overlap enough share one of
+    their ``n - ceil(n percent / 100) + 1`` rarest shingles, and the first one they share leaves
+    enough behind it on either side, so pairs across components for which no shingle does are no
+    links. Pairs within a component are never needed. So no link of a bucket
+    is lost, and what a heavily edited copy has of its own keeps it from meeting its whole group.
 
     Returns a row per input row: ``doc_id, n_shingles, component_id, kept``. The component is the smallest id reachable over links. Texts that are null or
     hold no word have an empty set, link with nothing and are kept. Rows with a null id take no
@@ -137,9 +150,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             order = F.struct((F.col("id") if r == 0 else F.xxhash64("id", F.lit(r))).alias("o"), "id", "n", "comp")
             hub = scratch.cut(members.groupBy("band").agg(F.min(order).alias("hub")))
             met = members.join(hub, "band").select("id", "n", "comp", F.col("hub.id").alias("id2"), F.col("hub.n").alias("n2"), F.col("hub.comp").alias("comp2"))
-        else:  # what is left: all pairs across components
-            other = members.select("band", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            met = members.join(other, "band").filter("id < id2")
+        else:  # what is left: pairs across components that share a rare shingle
+            nodes = scratch.cut(members.select("id", "comp").distinct())
+            items = scratch.cut(base.join(nodes.select("id"), "id", "left_semi").mapInArrow(_items(k), "id long, n long, item long").distinct())
+            common = scratch.cut(items.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1"))
+            rank = F.row_number().over(Window.partitionBy("id", "n").orderBy("df", "item")) + F.col("n") - F.count("*").over(Window.partitionBy("id", "n"))
+            # a shingle of one document is rarer than all others, so those only move the ranks up
+            ranked = items.join(common, "item").withColumn("rank", rank)
+            rare = scratch.cut(ranked.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).join(nodes, "id").select("item", "id", "n", "comp", "rank"))
+            other = rare.select("item", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("rank").alias("rank2"))
+            # if this is the first shingle that they share, so many can follow it
+            most = 1 + F.least(F.col("n") - F.col("rank"), F.col("n2") - F.col("rank2"))
+            met = rare.join(other, "item").filter((F.col("id") < F.col("id2")) & (most * (100 + percent) >= percent * (F.col("n") + F.col("n2"))))
         pairs = met.filter((F.col("comp") != F.col("comp2")) & close("n", "n2")).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
         pairs = scratch.cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
@@ -162,6 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         part = part.withColumn("component", F.lit(None).cast("long"))
     part = scratch.cut(part.select("key", F.coalesce("component", "rep").alias("component")))
+    scratch.keep(sketched, part)
     out = sketched.select("id", "n", "key").join(part, "key", "left")
     empty = F.col("n") == 0
     comp = F.when(F.col("id").isNotNull(), F.when(empty, F.col("id")).otherwise(F.col("component")))
