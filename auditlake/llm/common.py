@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words whose hashes a Python worker remembers at most; beyond it the memory starts anew.
-HASH_CACHE = 1_000_000
+HASH_CACHE = 600_000
 #: Rows of an Arrow batch at most: texts and sets are long, and a batch is held in memory.
 BATCH_ROWS = 1000
 
@@ -89,8 +90,11 @@ class Scratch:
         Spark removes them once the driver has collected the plans that made them, which a driver
         with memory to spare does late; after a step with a large shuffle it is worth asking.
         """
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what the first pass frees lets go of more
+            gc.collect()
+            time.sleep(0.5)
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""

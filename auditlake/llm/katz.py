@@ -284,11 +284,13 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chunks = scratch.cut(rows.mapInArrow(_chunks, schema))
     pieces = max(1, -(-(chunks.agg(F.sum("tokens")).first()[0] or 0) // PART))
     told = scratch.cut(chunks.mapInArrow(_count_keys(pieces), _ASK).groupBy("part").applyInArrow(_count, _TELL))
+    scratch.tidy()
     stats = {r["part"]: [r[i] for i in range(1, TOP + 4)] for r in told.filter(F.col("kind") == _STATS).groupBy("part").agg(*[F.sum(F.col("stats")[i]) for i in range(TOP + 3)]).collect()}
     none = [0] * (TOP + 3)
     total, types, *of = stats.get(_WORD, none)
     one, cut = Unigrams(total, types, of), discounts(stats.get(_PAIR, none)[2:])
     told_all = told.filter(F.col("kind") != _STATS)
-    asked = chunks.groupBy("chunk").cogroup(told_all.groupBy("chunk")).applyInArrow(_mass(pieces, one, cut), _ASK)
-    weights = scratch.cut(asked.groupBy("part").applyInArrow(_alpha, _TELL))
+    mass = _mass(pieces, one, cut)
+    weights = scratch.cut(chunks.groupBy("chunk").cogroup(told_all.groupBy("chunk")).applyInArrow(mass, _ASK).groupBy("part").applyInArrow(_alpha, _TELL))
+    scratch.tidy()
     return chunks.groupBy("chunk").cogroup(told_all.unionByName(weights).groupBy("chunk")).applyInArrow(_scores(one, cut), _SCORED)
