@@ -9,7 +9,7 @@ import re
 import numpy as np
 
 #: Pieces whose ids a Python worker remembers at most; beyond it the memory starts anew.
-PIECE_CACHE = 1_500_000
+PIECE_CACHE = 1_000_000
 #: A single space between two other characters. A byte-level pre-tokenizer never joins what such
 #: a space separates, and always starts a new piece with it.
 _GAP = re.compile(r" (?<=\S )(?=\S)")
