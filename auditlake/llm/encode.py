@@ -46,8 +46,6 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > PIECE_CACHE:
-            self.known.clear()
         known, simple, odd = self.known, [], []
         for p in pieces:
             (odd if " " in p or p[:1].isspace() or p[-1:].isspace() else simple).append(p)
@@ -69,12 +67,21 @@ class Encoder:
         if not self.by_piece:
             return [np.frombuffer(self._plain(t or ""), self.dtype) for t in texts]
         split = [[""] if not t else (_GAP.split(t) if any(x in t for x in _RUNS) or _OTHER.search(t) else t.split(" ")) for t in texts]
-        for _ in range(2):  # the memory may start anew while it learns
-            known = self.known
-            missing = {x for p in split for x in p[1:] if x not in known}
-            if not missing:
-                break
-            self._learn(list(missing))
+        return self._joined(texts, split)
+
+    def _joined(self, texts: list[str | None], split: list[list[str]]) -> list[np.ndarray]:
+        needed = {x for p in split for x in p[1:]}
+        if len(needed) > PIECE_CACHE:  # more than the memory holds: fewer texts at once, or one text in full
+            if len(texts) == 1:
+                return [np.frombuffer(self._plain(texts[0]), self.dtype)]
+            half = len(texts) // 2
+            return self._joined(texts[:half], split[:half]) + self._joined(texts[half:], split[half:])
+        missing = [x for x in needed if x not in self.known]
+        if len(self.known) + len(missing) > PIECE_CACHE:
+            self.known.clear()
+            missing = list(needed)
+        if missing:
+            self._learn(missing)
         known = self.known.__getitem__
         return [np.frombuffer(self._plain(p[0]) + b"".join(map(known, p[1:])), self.dtype) for p in split]
 

@@ -277,6 +277,16 @@ def test_encoder():
     assert [x.tolist() for x in encode.Encoder(other).encode(texts[:50])] == [Tokenizer.from_file(other).encode(t, add_special_tokens=False).ids for t in texts[:50]]
 
 
+def test_encoder_with_a_small_memory(monkeypatch):
+    monkeypatch.setattr(encode, "PIECE_CACHE", 20)
+    tok = Tokenizer.from_file(BPE)
+    enc = encode.Encoder(BPE)
+    runs = [["a b c"], [f"a b c {' '.join(f'n{i}x{j}' for j in range(8))}" for i in range(9)], [" ".join(f"m{j}" for j in range(50)) + " b c", "c b"], [None, "", "a b c"]]
+    for texts in runs:
+        assert [x.tolist() for x in enc.encode(texts)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert len(enc.known) <= 20
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
