@@ -131,6 +131,51 @@ def test_passages(spark, odd, none):
     assert chaining.repeated_passages(none).count() == 0
 
 
+def test_passage_of_which_one_seed_has_no_other_partner(spark):
+    rng = random.Random(4)
+    mk = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    p = mk(60)
+    rows = [(i, " ".join(mk(20) + p + mk(20)), "en", "s", 1) for i in range(2)]
+    for i in range(40):  # too short a part to be a passage
+        rows.append((10 + i, " ".join(mk(30) + (p[:32] if i % 2 else p[28:]) + mk(30)), "en", "s", 1))
+    got = chaining.repeated_passages(make(spark, rows)).collect()
+    assert {(r["doc_id"], r["start"], r["end"], r["partner_id"]) for r in got} == {(0, 20, 80, 1), (1, 20, 80, 0)}
+
+
+def test_passage_of_sentences_that_stand_elsewhere_in_other_orders(spark):
+    rng = random.Random(6)
+    mk = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    sentences = [mk(10) for _ in range(6)]
+    whole = sum(sentences, [])
+    rows = [(0, " ".join(whole[:30] + mk(30) + whole), "en", "s", 1), (1, " ".join(mk(20) + whole), "en", "s", 1)]
+    for i in range(40):
+        own = rng.sample(sentences, 6)
+        rows.append((10 + i, " ".join(sum((s + mk(25) for s in own), [])), "en", "s", 1))
+    got = chaining.repeated_passages(make(spark, rows)).collect()
+    assert {(r["doc_id"], r["start"], r["end"], r["partner_id"]) for r in got} == {(0, 60, 120, 1), (1, 20, 80, 0)}
+
+
+def test_recall_of_edited_passages(spark):
+    rng = random.Random(8)
+    mk = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    rows, planted = [], {}
+    for i in range(160):
+        p = mk(60)
+        q, first = list(p), rng.randrange(8)
+        # an edit every 8 to 12 words, or a share of 5, 10 or 15 percent of the inner words
+        edits = range(first, 60, 8 + i % 5) if i % 4 == 0 else rng.sample(range(2, 58), (3, 6, 9)[i % 4 - 1])
+        for j in edits:
+            q[j] = f"edited{rng.random()}"
+        for k, w in ((2 * i, p), (2 * i + 1, q)):
+            rows.append((k, " ".join(mk(rng.randint(10, 40)) + w + mk(rng.randint(10, 40))), "en", "s", 1))
+        runs = "".join("x" if a == b else " " for a, b in zip(p, q, strict=True)).split()
+        planted[i] = max(map(len, runs)) >= 6
+    got = chaining.repeated_passages(make(spark, rows)).collect()
+    assert all(r["doc_id"] // 2 == r["partner_id"] // 2 and r["identity"] >= 0.8 for r in got)
+    missed = {i for i in planted if planted[i]} - {r["doc_id"] // 2 for r in got}
+    assert len(planted) - sum(planted.values()) <= 3 and len(missed) <= 3, missed
+
+
 def test_chain_is_the_best_one():
     rng = np.random.default_rng(2)
     for _ in range(30):
