@@ -1,4 +1,4 @@
-"""Language-model scores from a Katz backoff bigram model with Good-Turing discounts.
+"""Language-model scores from a Katz backoff model with Good-Turing discounts.
 
 Counting and scoring exchange blocks of hashed keys instead of a row per token: a chunk of
 documents asks every partition of the n-gram table once for each of its distinct keys, and gets
@@ -26,7 +26,8 @@ TOP = 5
 LEAST_MASS = 1e-4
 #: The key of the end of a document, which is also what precedes its first word.
 _END = np.uint64(0x1F83D9ABFB41BD6B)
-_WORD, _PAIR, _ALPHA, _STATS = 0, 1, 2, 3
+#: Kinds of rows exchanged: the counts of n-grams have n, backoff weights to n-grams have ``_ALPHA + n``.
+_STATS, _ALPHA = 0, 100
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -83,25 +84,41 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Chunk:
-    """A chunk row unpacked, with its distinct word pairs in the order of their hashes."""
+    """A chunk row unpacked, with its distinct n-grams of each order in the order of their hashes.
 
-    def __init__(self, r: dict):
+    Lists have an item per order, the first one unused. An n-gram has its ``hist`` (all but the last
+    word) and its ``low`` (all but the first) among those of the order below; ``at`` has the n-gram
+    that each token ends, or -1 where the document has too few words before it. The one end before
+    the first word counts as a word.
+    """
+
+    def __init__(self, r: dict, order: int):
         self.chunk, n, t = r["chunk"], r["types"], r["tokens"]
-        self.keys = np.cumsum(expand(r["keys"], n, "<u8"), dtype=np.uint64)
-        self.seen = expand(r["seen"], n, "<u4")
-        self.tokens = expand(r["stream"], t, "<u4").astype(np.int64)
+        keys = np.cumsum(expand(r["keys"], n, "<u8"), dtype=np.uint64)
+        tokens = expand(r["stream"], t, "<u4").astype(np.int64)
         self.ids, self.held, self.sizes = r["ids"], np.array(r["held"], bool), np.array(r["sizes"], np.int64)
-        end = int(np.searchsorted(self.keys, _END))
-        self.before = np.concatenate([[end], self.tokens[:-1]])
-        codes, at = np.unique(self.before * n + self.tokens, return_inverse=True)
-        first, second = np.divmod(codes, n)
-        keys = mix(mix(self.keys[first]) ^ self.keys[second])
-        order = np.argsort(keys, kind="stable")
-        self.pair_keys, self.first, self.second = keys[order], first[order], second[order]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.pair = rank[at]
-        self.pair_seen = np.bincount(self.pair[np.repeat(~self.held, self.sizes)], minlength=len(order)).astype("<u4")
+        self.keys, self.at, self.hist, self.low, self.seen = [None, keys], [None, tokens], [None, None], [None, None], [None, expand(r["seen"], n, "<u4")]
+        train = np.repeat(~self.held, self.sizes)
+        place = np.arange(t) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        last = np.arange(n)
+        for m in range(2, order + 1):
+            below = self.at[m - 1]
+            where = np.flatnonzero(place >= m - 2)
+            before = np.concatenate([[int(np.searchsorted(keys, _END))], tokens[:-1]])[where] if m == 2 else below[where - 1]
+            codes, at = np.unique(before * len(self.keys[m - 1]) + below[where], return_inverse=True)
+            hist, low = np.divmod(codes, max(1, len(self.keys[m - 1])))
+            hashes = mix(mix(self.keys[m - 1][hist]) ^ keys[last[low]])
+            by = np.argsort(hashes, kind="stable")
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            full = np.full(t, -1, np.int64)
+            full[where] = rank[at]
+            last = last[low[by]]
+            self.keys.append(hashes[by])
+            self.hist.append(hist[by])
+            self.low.append(low[by])
+            self.at.append(full)
+            self.seen.append(np.bincount(full[where][train[where]], minlength=len(by)).astype("<u4"))
 
 
 def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -123,13 +140,13 @@ _TELL = "kind int, part int, chunk long, n long, data array<binary>, stats array
 _TELL_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("data", pa.list_(pa.binary())), ("stats", pa.list_(pa.int64()))])
 
 
-def _count_keys(parts: int):
+def _count_keys(parts: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                c = _Chunk(r)
-                rows = [*_ask(_WORD, c.chunk, c.keys, [c.seen], parts), *_ask(_PAIR, c.chunk, c.pair_keys, [c.pair_seen], parts)]
-                yield pa.RecordBatch.from_pylist(rows, schema=_ASK_ARROW)
+                c = _Chunk(r, order)
+                for m in range(1, order + 1):
+                    yield pa.RecordBatch.from_pylist([*_ask(m, c.chunk, c.keys[m], [c.seen[m]], parts)], schema=_ASK_ARROW)
 
     return run
 
@@ -143,11 +160,9 @@ def _merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[int]]:
 
 def _count(table: pa.Table) -> pa.Table:
     """Total training counts of a partition's keys, told to every chunk that asked; of each seen key one chunk is the owner."""
-    out = []
-    for kind in (_WORD, _PAIR):
-        rows = sorted((r for r in table.to_pylist() if r["kind"] == kind), key=lambda r: r["chunk"])
-        if not rows:
-            continue
+    out, all_rows = [], table.to_pylist()
+    for kind in sorted({r["kind"] for r in all_rows}):
+        rows = sorted((r for r in all_rows if r["kind"] == kind), key=lambda r: r["chunk"])
         distinct, at, ends = _merged(rows)
         seen = np.concatenate([expand(r["data"][0], r["n"], "<u4") for r in rows]).astype(np.int64)
         total = np.bincount(at, seen, len(distinct)).astype(np.int64)
@@ -197,23 +212,48 @@ class Unigrams:
 
 def _answers(rows: list[dict], kind: int) -> list[np.ndarray]:
     own = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"])
-    kinds = {_WORD: ("<u8", "u1"), _PAIR: ("<u8", "u1"), _ALPHA: ("<f8",)}[kind]
+    kinds = ("<f8",) if kind > _ALPHA else ("<u8", "u1")
     return [np.concatenate([expand(r["data"][i], r["n"], t) for r in own] or [np.empty(0, t)]) for i, t in enumerate(kinds)]
 
 
-def _mass(parts: int, one: Unigrams, cut: np.ndarray):
+def _chances(c: _Chunk, answers: list[dict], one: Unigrams, cuts: list[np.ndarray], order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Counts and chances of the n-grams of a chunk up to ``order``.
+
+    An n-gram that was seen has its discounted share of its history; any other has the history's
+    backoff weight, or one if the history was never seen, times the chance of the shorter n-gram.
+    """
+    counts = [None, _answers(answers, 1)[0].astype(np.int64)]
+    chances = [None, one(counts[1])]
+    for m in range(2, order + 1):
+        n, alpha = _answers(answers, m)[0].astype(np.int64), _answers(answers, _ALPHA + m)[0][c.hist[m]]
+        history = counts[m - 1][c.hist[m]]
+        # scaled histories: their seen share sums to less than one again
+        known = _kept(n, cuts[m]) / np.maximum(history, 1) * np.where(alpha < 0, 1 - LEAST_MASS, 1.0)
+        back = np.where(history > 0, np.abs(alpha), 1.0) * chances[m - 1][c.low[m]]
+        counts.append(n)
+        chances.append(np.where(n > 0, known, back))
+    return counts, chances
+
+
+def _kept(n: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Discounted counts."""
+    return cut[np.minimum(n, TOP + 1) % (TOP + 1)] * n
+
+
+def _mass(parts: int, one: Unigrams, cuts: list[np.ndarray], m: int):
     """Shares of every history's seen continuations that this chunk owns, to be added up by history."""
 
     def run(chunks: pa.Table, told: pa.Table) -> pa.Table:
         out, answers = [], told.to_pylist()
         for r in chunks.to_pylist():
-            c = _Chunk(r)
-            words, (pairs, own) = _answers(answers, _WORD)[0].astype(np.int64), _answers(answers, _PAIR)
+            c = _Chunk(r, m)
+            counts, chances = _chances(c, answers, one, cuts, m - 1)
+            n, own = _answers(answers, m)
             mine = own > 0
-            h, n = c.first[mine], pairs[mine].astype(np.int64)
-            star = cut[np.minimum(n, TOP + 1) % (TOP + 1)] * n / words[h]
-            sums = [np.bincount(h, v, len(c.keys)) for v in (star, one(words[c.second[mine]]))]
-            out += _ask(_ALPHA, c.chunk, c.keys, sums, parts)
+            h, n = c.hist[m][mine], n[mine].astype(np.int64)
+            star = _kept(n, cuts[m]) / counts[m - 1][h]
+            sums = [np.bincount(h, v, len(c.keys[m - 1])) for v in (star, chances[m - 1][c.low[m][mine]])]
+            out += _ask(_ALPHA + m, c.chunk, c.keys[m - 1], sums, parts)
         return pa.Table.from_pylist(out, schema=_ASK_ARROW)
 
     return run
@@ -230,45 +270,41 @@ def _alpha(table: pa.Table) -> pa.Table:
         alpha = np.where(scaled, LEAST_MASS, left) / np.maximum(1 - low, 1e-300)
         alpha = np.where(scaled, -alpha, alpha)[at]
         for r, i, j in zip(rows, [0, *ends], ends, strict=False):
-            out.append({"kind": _ALPHA, "part": r["part"], "chunk": r["chunk"], "n": r["n"], "data": [squeeze(alpha[i:j])]})
+            out.append({"kind": r["kind"], "part": r["part"], "chunk": r["chunk"], "n": r["n"], "data": [squeeze(alpha[i:j])]})
     return pa.Table.from_pylist(out, schema=_TELL_ARROW)
 
 
-def log_chances(pair: np.ndarray, history: np.ndarray, low: np.ndarray, alpha: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """log10 of each token's chance: the discounted pair if it was seen, else the backoff weight times the word's own."""
-    known = cut[np.minimum(pair, TOP + 1) % (TOP + 1)] * pair / np.maximum(history, 1) * np.where(alpha < 0, 1 - LEAST_MASS, 1.0)
-    back = np.where(history > 0, np.abs(alpha), 1.0) * low
-    return np.log10(np.where(pair > 0, known, back))
-
-
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(one: Unigrams, cut: np.ndarray):
+def _scores(one: Unigrams, cuts: list[np.ndarray], order: int):
     def run(chunks: pa.Table, told: pa.Table) -> pa.Table:
         out, answers = [], told.to_pylist()
         for r in chunks.to_pylist():
-            c = _Chunk(r)
-            words, pairs = _answers(answers, _WORD)[0].astype(np.int64), _answers(answers, _PAIR)[0].astype(np.int64)
-            alpha = _answers(answers, _ALPHA)[0]
-            # scaled histories: their seen share sums to less than one again
-            per_pair = log_chances(pairs, words[c.first], one(words[c.second]), alpha[c.first], cut)
+            c = _Chunk(r, order)
+            counts, chances = _chances(c, answers, one, cuts, order)
+            logs = np.log10(chances[1])[c.at[1]]
+            for m in range(2, order + 1):  # near the start of a document the longest n-gram that there is
+                some = c.at[m] >= 0
+                logs[some] = np.log10(chances[m])[c.at[m][some]]
+            words, tokens = counts[1], c.at[1]
             start = np.cumsum(c.sizes) - c.sizes
             base = np.log10((words + 1.0) / (one.total + one.types + 1.0))
-            sums = [np.add.reduceat(v, start) for v in (base[c.tokens], per_pair[c.pair], (words > 0).astype(np.int64)[c.tokens])]
+            sums = [np.add.reduceat(v, start) for v in (base[tokens], logs, (words > 0).astype(np.int64)[tokens])]
             out.append(pa.table({"doc_id": pa.array(c.ids, pa.int64()), "held_out": c.held, "n_tokens": c.sizes, "n_known": sums[2], "train_tokens": np.full(len(c.sizes), one.total), "base_score": sums[0], "score": sums[1]}))
         return pa.concat_tables(out)
 
     return run
 
 
-def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, part: int = 2) -> DataFrame:
-    """Score every whole text with a bigram model of the documents that are not held out.
+def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, part: int = 2, order: int = 2) -> DataFrame:
+    """Score every whole text with a model of ``order`` (2 or more) of the documents that are not held out.
 
-    Tokens are words with A-Z lowered, then one end, which also stands before the first word. A
-    pair that was seen has its Good-Turing discounted share of its history; any other pair has the
-    history's backoff weight times the word's own chance, and after a history that was never seen
-    the word's own chance counts. Words have discounted shares too, and what is left is the chance
+    Tokens are words with A-Z lowered, then one end, which also stands before the first word; the
+    words right after it have that shorter history. An n-gram that was seen has its Good-Turing
+    discounted share of its history; any other has the history's backoff weight times the chance
+    after the history without its first word, and so on down to the word's own chance; a history
+    that was never seen has weight one. Words have discounted shares too, and what is left is the chance
     of any unseen word. Backoff weights are computed so that the chances after every history add
     up to one; a history whose counts leave nothing gives up ``LEAST_MASS``.
 
@@ -282,15 +318,18 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col, parts, part).alias("held"), F.col(text_col).alias("text"))
     schema = "chunk long, tokens long, types long, ids array<long>, held array<boolean>, sizes array<long>, keys binary, stream binary, seen binary"
     chunks = scratch.cut(rows.mapInArrow(_chunks, schema))
-    pieces = max(1, -(-(chunks.agg(F.sum("tokens")).first()[0] or 0) // PART))
-    told = scratch.cut(chunks.mapInArrow(_count_keys(pieces), _ASK).groupBy("part").applyInArrow(_count, _TELL))
+    pieces = max(1, -(-(chunks.agg(F.sum("tokens")).first()[0] or 0) * (order - 1) // PART))
+    told = scratch.cut(chunks.mapInArrow(_count_keys(pieces, order), _ASK).groupBy("part").applyInArrow(_count, _TELL))
     scratch.tidy()
     stats = {r["part"]: [r[i] for i in range(1, TOP + 4)] for r in told.filter(F.col("kind") == _STATS).groupBy("part").agg(*[F.sum(F.col("stats")[i]) for i in range(TOP + 3)]).collect()}
     none = [0] * (TOP + 3)
-    total, types, *of = stats.get(_WORD, none)
-    one, cut = Unigrams(total, types, of), discounts(stats.get(_PAIR, none)[2:])
-    told_all = told.filter(F.col("kind") != _STATS)
-    mass = _mass(pieces, one, cut)
-    weights = scratch.cut(chunks.groupBy("chunk").cogroup(told_all.groupBy("chunk")).applyInArrow(mass, _ASK).groupBy("part").applyInArrow(_alpha, _TELL))
-    scratch.tidy()
-    return chunks.groupBy("chunk").cogroup(told_all.unionByName(weights).groupBy("chunk")).applyInArrow(_scores(one, cut), _SCORED)
+    total, types, *of = stats.get(1, none)
+    one, cuts = Unigrams(total, types, of), [None, None, *[discounts(stats.get(m, none)[2:]) for m in range(2, order + 1)]]
+    known = told.filter(F.col("kind") != _STATS)
+    for m in range(2, order + 1):
+        # a step needs the counts of its order and below, and the weights below
+        some = known.filter((F.col("kind") <= m) | (F.col("kind") > _ALPHA))
+        weights = scratch.cut(chunks.groupBy("chunk").cogroup(some.groupBy("chunk")).applyInArrow(_mass(pieces, one, cuts, m), _ASK).groupBy("part").applyInArrow(_alpha, _TELL))
+        scratch.tidy()
+        known = known.unionByName(weights)
+    return chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_scores(one, cuts, order), _SCORED)

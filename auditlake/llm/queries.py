@@ -59,7 +59,7 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz_scores(_table(spark, sf_dir, "documents"))
+    return katz_scores(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

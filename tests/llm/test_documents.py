@@ -310,6 +310,38 @@ def test_katz(spark, sample, odd, none):
     assert katz.katz_scores(none).count() == 0
 
 
+def test_katz_of_order_three(spark, sample):
+    rows = [(r["doc_id"], [w.decode() for w in common.split_words(r["text"])] + ["\x00"]) for r in sample.collect()]
+    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 7 == 2
+    c, n, v, p2, rest = katz_brute(rows, held)
+    c2, c3 = collections.Counter(), collections.Counter()
+    for k, w in rows:
+        if not held(k):
+            w = ["\x00", *w]
+            c2.update(zip(w, w[1:], strict=False))
+            c3.update(zip(w, w[1:], w[2:], strict=False))
+    d = katz.discounts([sum(x == r for x in c3.values()) for r in range(1, 7)])
+    cut = lambda x: d[x] if x <= katz.TOP else 1.0
+    star, low = collections.Counter(), collections.Counter()
+    for (a, b, w), x in c3.items():
+        star[a, b] += cut(x) * x / c2[a, b]
+        low[a, b] += p2(b, w)
+
+    def p3(a, b, w):
+        left = 1 - star[a, b]
+        tight = left < katz.LEAST_MASS
+        if (a, b, w) in c3:
+            return cut(c3[a, b, w]) * c3[a, b, w] / c2[a, b] * (1 - katz.LEAST_MASS if tight else 1)
+        return ((katz.LEAST_MASS if tight else left) / (1 - low[a, b]) if (a, b) in c2 else 1) * p2(b, w)
+
+    for _, w in rows[:4]:
+        assert len(w) < 3 or math.isclose(sum(p3(w[0], w[1], x) for x in c) + p3(w[0], w[1], "no such word"), 1, abs_tol=1e-6)
+    got = {r["doc_id"]: r["score"] for r in katz.katz_scores(sample, order=3).collect()}
+    for k, w in rows:
+        want = math.log10(p2("\x00", w[0])) + sum(math.log10(p3(*x)) for x in zip(["\x00", *w], w, w[1:], strict=False))
+        assert math.isclose(got[k], want, rel_tol=1e-6), k
+
+
 def test_encoder():
     rng = random.Random(1)
     parts = [*"ab ,.\n\t '", "  ", "   ", "\n\n", "<|endoftext|>", " ", " ", "\x1c", "\xa0", "é", "123", "'s", "'ll", "\U0001F600", " the", " of"]
