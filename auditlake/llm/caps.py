@@ -44,9 +44,11 @@ class Filters:
         self.size = max(4, int(np.ceil(np.sqrt(COMMON / (q * p)))))
         self.half, self.cut = max(1, dim // 2), t / np.sqrt(dim)
         rng = np.random.default_rng(seed)
-        self.codes, self.axes = [], []
+        self.codes, self.turns = [], []
         for _ in range(SETS):
-            self.axes.append(rng.permutation(dim))
+            # a random rotation, so that no vector has most of its length in one block
+            q, r = np.linalg.qr(rng.standard_normal((dim, dim)))
+            self.turns.append((q * np.where(np.diag(r) < 0, -1.0, 1.0)).astype(np.float32))
             for d in (self.half, dim - self.half):
                 c = rng.standard_normal((self.size, d))
                 self.codes.append((c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12) * np.sqrt(d / dim)).astype(np.float32))
@@ -57,7 +59,7 @@ class Filters:
         return [np.concatenate(found) for found in zip(*sets, strict=True)]
 
     def _decode(self, x: np.ndarray, k: int) -> list[np.ndarray]:
-        x = x[:, self.axes[k]]
+        x = x @ self.turns[k]
         first, second = x[:, : self.half] @ self.codes[2 * k].T, x[:, self.half :] @ self.codes[2 * k + 1].T
         order1, order2 = np.argsort(-first, axis=1), np.argsort(-second, axis=1)
         few = int(np.ceil(FEWEST**0.5)) * 4

@@ -69,6 +69,21 @@ def test_filters_find_pairs_at_the_threshold():
     assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(one, two, strict=True)]) > 0.995
 
 
+def test_filters_find_pairs_of_sparse_and_spiky_vectors():
+    rng = np.random.default_rng(2)
+    f = caps.Filters(64, 50_000, 0.93)
+    for few in (1, 2, 4):
+        a = 0.01 * rng.standard_normal((400, 64)) if few == 2 else np.zeros((400, 64))
+        for row in a:
+            row[rng.choice(64, few, replace=False)] += rng.choice([-1.0, 1.0], few)
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        n = rng.standard_normal((400, 64))
+        n -= (n * a).sum(1, keepdims=True) * a
+        n /= np.linalg.norm(n, axis=1, keepdims=True)
+        one, two = f.decode(a.astype(np.float32)), f.decode((0.93 * a + np.sqrt(1 - 0.93**2) * n).astype(np.float32))
+        assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(one, two, strict=True)]) > 0.99, few
+
+
 def brute(rows, queries, k):
     use = good(rows, False)
     x = np.array([r[1] for r in use], float)
