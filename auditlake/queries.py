@@ -462,14 +462,14 @@ def stream_ingest(spark, d):
 @_query("SELECT strftime(date_trunc('hour', ts::TIMESTAMP), '%Y-%m-%d %H') AS bucket, count(*)::BIGINT AS count, sum(coalesce(exec_time_ms, 0)) AS total_ms, max(coalesce(exec_time_ms, 0)) AS max_ms FROM r GROUP BY 1")
 def stream_bucket(spark, d):
     rows = streams.stream_buckets(streams.stream_records(spark, write_log_files(spark, d)), late="36500 days")
-    done = streams.run_to_table(rows, f"s_{uuid.uuid4().hex}", shared_folder(spark, "state"), "complete")
+    done = streams.run_to_table(rows, shared_folder(spark, "complete"), shared_folder(spark, "state"), "complete")
     return done.select(F.date_format("start", "yyyy-MM-dd HH").alias("bucket"), "count", "total_ms", "max_ms")
 
 
 @_query("SELECT fp AS fingerprint, count(*)::BIGINT AS count, sum(coalesce(exec_time_ms, 0)) AS total_ms, min(ts) AS first_seen FROM r GROUP BY fp")
 def stream_digest(spark, d):
     rows = streams.stream_digest(streams.stream_records(spark, write_log_files(spark, d)))
-    done = streams.run_to_table(rows, f"s_{uuid.uuid4().hex}", shared_folder(spark, "state"), "complete")
+    done = streams.run_to_table(rows, shared_folder(spark, "complete"), shared_folder(spark, "state"), "complete")
     return done.select("fingerprint", "count", "total_ms", "first_seen")
 
 

@@ -34,10 +34,11 @@ def stream_digest(records: DataFrame) -> DataFrame:
 
 
 def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Work off what is there now into an in-memory or file table, and return it."""
+    """Work off what is there now into the Parquet table in folder ``name``, and return it; in complete mode each batch replaces the table."""
     query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "complete":
-        query.format("memory").queryName(name).start().awaitTermination()
-        return df.sparkSession.table(name)
-    query.format("parquet").option("path", name).start().awaitTermination()
+        df.sparkSession.createDataFrame([], df.schema).write.mode("ignore").parquet(name)  # there may be no batch
+        query.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(name)).start().awaitTermination()
+    else:
+        query.format("parquet").option("path", name).start().awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(name)

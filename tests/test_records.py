@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from auditlake.operators import binding, filters, shaping, stats, templates
 from auditlake.plans import jobs
 from auditlake.sources import logs, sinks
+from auditlake.streaming import logs as streams
 
 HEAD = "2025-01-15 10:00:{s:02d}.000 (EP[0] sess:0x{sess} thrd:1 user:{user} trxid:{trx} stmt:0x1 appname:{app} ip:10.0.0.1) "
 
@@ -136,3 +137,14 @@ def test_sinks(spark, tmp_path):
         sinks.write_table(df, "a b")
     with pytest.raises(ValueError):
         sinks.export(df)
+
+
+def test_complete_stream_is_a_table_of_files(spark, tmp_path):
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    line = "2025-01-15 10:00:0{}.000 (EP[0] sess:0x1 thrd:1 user:A trxid:1 stmt:0x1 appname:x ip:::1) SELECT {}\n"
+    for round_ in (1, 2):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{round_}.log").write_text("".join(line.format(i, i) for i in range(5)))
+        done = streams.run_to_table(streams.stream_records(spark, folder).groupBy("file").agg(F.count("*").alias("n")), out, state, "complete")
+        assert done.inputFiles()
+        assert {r["file"]: r["n"] for r in done.collect()} == {f"{i}.log": 5 for i in range(1, round_ + 1)}
