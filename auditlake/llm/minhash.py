@@ -64,7 +64,7 @@ def _sketches(k: int, bands: int, rows: int):
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"")
                 band.append(band_keys(fast_sketch(s, bands * rows), rows).view(np.int64) if len(s) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_pydict({"id": b["id"], "n": n, "key": pa.array(keys, pa.binary()), "bands": pa.array(band, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"id": b["id"], "n": n, "key": pa.array(keys, pa.binary()), "bands": pa.array(band, pa.list_(pa.int64())), "hash": b["hash"]})
 
     return run
 
@@ -103,7 +103,7 @@ def _verify(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, star_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, star_rounds: int = 2, text_hash: str | None = None) -> DataFrame:
     """Group documents whose sets of ``k``-word shingles overlap by ``percent`` of their union or more.
 
     Documents with the same set are first taken as one. The others meet in the bands of their
@@ -121,11 +121,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns a row per input row: ``doc_id, n_shingles, component_id, kept``. The component is the smallest id reachable over links. Texts that are null or
     hold no word have an empty set, link with nothing and are kept. Rows with a null id take no
     part: null component, kept. Rows that share an id count as one document that links through
-    any of its texts; each is reported. Other columns are not read, whatever their names.
+    any of its texts; each is reported, and where two of its texts are in different groups, each with
+    its own group. ``text_hash`` names a further column, the xxhash64 of the text, that tells them apart. Other columns are not read, whatever their names.
     """
     scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = scratch.cut(base.mapInArrow(_sketches(k, bands, rows), "id long, n long, key binary, bands array<long>"))
+    sketched = scratch.cut(base.withColumn("hash", F.xxhash64("text")).mapInArrow(_sketches(k, bands, rows), "id long, n long, key binary, bands array<long>, hash long"))
     real = sketched.filter("n > 0 AND id IS NOT NULL")
     classes = scratch.cut(real.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     spread = classes.select("id", "n", F.explode("bands").alias("band"))
@@ -185,7 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         part = part.withColumn("component", F.lit(None).cast("long"))
     part = scratch.cut(part.select("key", F.coalesce("component", "rep").alias("component")))
     scratch.keep(sketched, part)
-    out = sketched.select("id", "n", "key").join(part, "key", "left")
+    out = sketched.select("id", "n", "key", "hash").join(part, "key", "left")
     empty = F.col("n") == 0
     comp = F.when(F.col("id").isNotNull(), F.when(empty, F.col("id")).otherwise(F.col("component")))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"), *([F.col("hash").alias(text_hash)] if text_hash else []))

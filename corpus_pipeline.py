@@ -31,8 +31,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies stays: the one with the smallest id, once."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
+    # an id may have several texts, of which one is a copy and another isn't
+    gone = near_duplicates(docs, text_hash="text_hash").filter(~F.col("kept")).select("doc_id", "text_hash").distinct()
+    left = docs.withColumn("text_hash", F.xxhash64("text")).join(gone, ["doc_id", "text_hash"], "left_anti")
     # rows that repeat id and text are copies too; rows without an id stay
     named = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
     return named.unionByName(left.filter("doc_id IS NULL")).select(*COLUMNS)

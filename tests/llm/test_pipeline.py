@@ -7,6 +7,7 @@ import corpus_pipeline
 from auditlake.llm import queries as Q
 from auditlake.llm.common import shingles
 
+from .conftest import make
 from .test_documents import components
 
 
@@ -35,6 +36,13 @@ def test_stages(spark, sample):
     assert {k: v * sizes[k] for k, v in count.items()} == pieces
 
 
+def test_one_of_two_texts_of_an_id_is_a_copy(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "ab"]
+    rows = [(3, texts[0], "en", "s", 1), (5, texts[0], "en", "s", 1), (5, texts[1], "en", "s", 1), (9, texts[1], "en", "s", 1)]
+    got = corpus_pipeline.near_copies(spark, make(spark, rows), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(3, texts[0]), (5, texts[1])]
+
+
 def test_odd_rows_and_no_rows(spark, odd, none):
     for docs in (odd, none):
         for _, stage in corpus_pipeline.STAGES:
