@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -28,13 +27,13 @@ BATCH_ROWS = 1000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (local tests), a new folder under the temporary folder is set as the
-    context's checkpoint folder and used from then on.
+    Where it is unset and the master is local (tests), a new folder under the temporary folder is
+    set as the context's checkpoint folder and used from then on; on a cluster that is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir: name a folder there that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-", dir=tempfile.gettempdir()))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -61,7 +60,9 @@ class Scratch:
     """Tables written to the shared folder, so that lost executors never lose a finished step.
 
     A written table also forgets how its rows were partitioned, which lets adaptive execution
-    split the hot keys of the joins that follow.
+    split the hot keys of the joins that follow. The shuffle files of a step go as soon as it is
+    written; tables that are still there when the application ends go then. Rows of Arrow batches
+    are bounded by ``BATCH_ROWS`` for the session, as results are computed when they are read.
     """
 
     def __init__(self, spark: SparkSession):
@@ -70,31 +71,50 @@ class Scratch:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+        path, files = self._at(self.root)
+        files.deleteOnExit(path)
         self.paths: dict[int, str] = {}
         self.tables: list[DataFrame] = []  # so that no number of a table is used twice
         self.n = 0
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` once and return a reader of what was written."""
+    @contextmanager
+    def _cleaned(self) -> Iterator[None]:
+        """Shuffle files of what is executed here are deleted at its end."""
+        name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(name, None)
+        self.spark.conf.set(name, "true")
+        try:
+            yield
+        finally:
+            if before is None:
+                self.spark.conf.unset(name)
+            else:
+                self.spark.conf.set(name, before)
+
+    def _new(self) -> str:
         self.n += 1
-        path = f"{self.root}/{self.n:03d}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        return f"{self.root}/{self.n:03d}"
+
+    def _known(self, out: DataFrame, path: str) -> DataFrame:
         self.paths[id(out)] = path
         self.tables.append(out)
         return out
 
-    def tidy(self) -> None:
-        """Let the shuffle files of finished steps go now.
-
-        Spark removes them once the driver has collected the plans that made them, which a driver
-        with memory to spare does late; after a step with a large shuffle it is worth asking.
-        """
-        for _ in range(2):  # what the first pass frees lets go of more
-            gc.collect()
-            time.sleep(0.5)
-            self.spark._jvm.System.gc()
-            time.sleep(0.5)
+    def cut(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` once and return a reader of what was written."""
+        path = self._new()
+        with self._cleaned():
+            df.write.parquet(path)
+        return self._known(self.spark.read.schema(df.schema).parquet(path), path)
+
+    def bucketed(self, df: DataFrame, column: str, buckets: int) -> DataFrame:
+        """As ``cut``, in buckets of ``column``: grouping by it needs no shuffle."""
+        path, name = self._new(), f"scratch_{uuid.uuid4().hex}"
+        with self._cleaned():
+            df.write.bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the name only, the files are not the catalog's
+        return self._known(out, path)
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
@@ -108,9 +128,13 @@ class Scratch:
             self._delete(path)
         self.paths = kept
 
-    def _delete(self, name: str) -> None:
+    def _at(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _delete(self, name: str) -> None:
+        path, files = self._at(name)
+        files.delete(path, True)
 
 
 def local_path(path: str) -> str:
@@ -179,28 +203,36 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(id, component)``, the component being its smallest id.
 
-    Each round maps every node to the smallest id among itself and its neighbours, follows that
-    map once more, and contracts the edges. The image of a connected graph stays connected, so a
-    round never loses a link; a few rounds suffice, as the nodes left at least halve. Only nodes
-    with an edge are returned. An empty input gives an empty result.
+    Each round maps every node to the first one, in the round's order, among itself and its
+    neighbours, and contracts the edges along that map. The image of a connected graph stays
+    connected, so a round never loses a link. The first round goes by id, which contracts stars
+    around their smallest node; the others go by a hash of id and round, so that whatever the
+    ids, a chain halves in a round on average. The maps are followed one after the other at the end.
+    Only nodes with an edge are returned. An empty input gives an empty result.
     """
     a, b = F.col("a"), F.col("b")
     e = scratch.cut(edges.filter("a <> b").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
-    labels = scratch.cut(e.select(a.alias("id"), a.alias("component")).limit(0))
-    first = True
+    maps: list[DataFrame] = []
     while not e.isEmpty():
+        rank = (lambda c: F.struct(c)) if not maps else (lambda c, r=len(maps): F.struct(F.xxhash64(c, F.lit(r)), c))
         both = e.unionByName(e.select(b.alias("a"), a.alias("b")))
-        near = scratch.cut(both.groupBy(a.alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("m")))
-        up = near.select(F.col("id").alias("m"), F.col("m").alias("up"))
-        jump = scratch.cut(near.join(up, "m", "left").select("id", F.coalesce("up", "m").alias("to")))
-        ja, jb = jump.select(F.col("id").alias("a"), F.col("to").alias("ta")), jump.select(F.col("id").alias("b"), F.col("to").alias("tb"))
-        moved = scratch.cut(e.join(ja, "a").join(jb, "b").filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
-        if first:
-            new = scratch.cut(jump.select("id", F.col("to").alias("component")))
-        else:
-            to = jump.select(F.col("id").alias("component"), "to")
-            new = scratch.cut(labels.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
-        scratch.drop(e, near, jump, labels)
-        e, labels, first = moved, new, False
+        first = both.groupBy(a.alias("id")).agg(F.min(F.struct(rank(b).alias("r"), b.alias("to"))).alias("m"))
+        near = scratch.cut(first.select("id", F.when(F.col("m.r") < rank(F.col("id")), F.col("m.to")).otherwise(F.col("id")).alias("to")))
+        na, nb = near.select(F.col("id").alias("a"), F.col("to").alias("ta")), near.select(F.col("id").alias("b"), F.col("to").alias("tb"))
+        moved = scratch.cut(e.join(na, "a").join(nb, "b").filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        scratch.drop(e)
+        e = moved
+        maps.append(near)
+    if not maps:
+        return scratch.cut(e.select(a.alias("id"), a.alias("component")))
     scratch.drop(e)
+    # the later a map, the fewer nodes it has
+    while len(maps) > 1:
+        last, near = maps.pop(), maps.pop()
+        followed = near.join(last.select(F.col("id").alias("to"), F.col("to").alias("end")), "to", "left").select("id", F.coalesce("end", "to").alias("to"))
+        maps.append(scratch.cut(followed))
+        scratch.drop(last, near)
+    names = maps[0].groupBy("to").agg(F.least(F.min("id"), F.col("to")).alias("component"))
+    labels = scratch.cut(maps[0].join(names, "to").select("id", "component"))
+    scratch.drop(maps[0])
     return labels

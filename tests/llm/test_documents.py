@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on a sample and on odd rows."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -260,86 +261,84 @@ def test_many_blocks(spark):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2
 
 
-def katz_brute(docs, held):
-    end = "\x00"
-    c, c2 = collections.Counter(), collections.Counter()
+def katz_brute(docs, held, order):
+    """Chances by the definition: what a history leaves is shared by the words not seen after it, in proportion to their chance after the shorter history."""
+    start, end, other = "<s>", "\x00", "<unseen>"
+    seen = [collections.defaultdict(collections.Counter) for _ in range(order)]
     for k, w in docs:
         if not held(k):
-            c.update(w)
-            c2.update(zip([end, *w[:-1]], w, strict=True))
-    n, v = sum(c.values()), len(c)
-    d1, d2 = (katz.discounts([sum(x == r for x in t.values()) for r in range(1, 7)]) for t in (c, c2))
-    cut = lambda d, x: d[x] if x <= katz.TOP else 1.0
-    one = {w: cut(d1, x) * x / n for w, x in c.items()}
-    rest = 1 - sum(one.values())
-    star, low = collections.Counter(), collections.Counter()
-    for (h, w), x in c2.items():
-        star[h] += cut(d2, x) * x / c[h]
-        low[h] += one[w]
-
-    def p(h, w):
-        back = one.get(w, rest)
-        if h not in c:
-            return back
-        left = 1 - star[h]
-        tight = left < katz.LEAST_MASS
-        if (h, w) in c2:
-            return cut(d2, c2[h, w]) * c2[h, w] / c[h] * (1 - katz.LEAST_MASS if tight else 1)
-        return (katz.LEAST_MASS if tight else left) / (1 - low[h]) * back
-
-    return c, n, v, p, rest
-
-
-def test_katz(spark, sample, odd, none):
-    end = "\x00"
-    for df in (sample, odd):
-        rows = [(r["doc_id"], [w.decode() for w in common.split_words(r["text"])] + [end]) for r in df.collect()]
-        held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 7 == 2
-        c, n, v, p, rest = katz_brute(rows, held)
-        for h in [end, *[w for _, ws in rows[:4] for w in ws[:3]], "never seen"]:
-            assert math.isclose(sum(p(h, w) for w in c) + p(h, "no such word"), 1, abs_tol=1e-6)
-        got = collections.defaultdict(list)
-        for r in katz.katz_scores(df).collect():
-            got[r["doc_id"]].append(r)
-        for k, w in rows:
-            r = got[k][0]
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), sum(x in c for x in w), n, held(k))
-            assert math.isclose(r["base_score"], sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
-            assert math.isclose(r["score"], sum(math.log10(p(h, x)) for h, x in zip([end, *w[:-1]], w, strict=True)), rel_tol=1e-6)
-        assert sum(map(len, got.values())) == len(rows)
+            padded = [start] * (order - 1) + w
+            for i, x in enumerate(w, order - 1):
+                for m in range(order):
+                    seen[m][tuple(padded[i - m : i])][x] += 1
+    cuts = [katz.discounts([sum(c == r for t in s.values() for c in t.values()) for r in range(1, 7)]) for s in seen]
+    words = [*seen[0][()], other]
+
+    @functools.cache
+    def after(history):
+        m, total = len(history), sum(seen[len(history)][history].values()) if history in seen[len(history)] else 0
+        lower = after(history[1:]) if m else None
+        if m and not total:
+            return lower
+        own = {w: (cuts[m][c] if c <= katz.TOP else 1) * c / (total + katz.ESCAPE) for w, c in seen[m][history].items()} if total else {}
+        rest = [w for w in words if w not in own]
+        left = 1 - math.fsum(own.values())
+        if not m:
+            return own | {other: left}
+        below = math.fsum(lower[w] for w in rest)
+        return own | {w: left * lower[w] / below for w in rest}
+
+    def score(w):
+        padded = [start] * (order - 1) + w
+        chances = [after(tuple(padded[i - order + 1 : i])) for i in range(order - 1, len(padded))]
+        return sum(math.log10(p.get(x, p[other])) for p, x in zip(chances, w, strict=True))
+
+    return seen[0][()], score, after
+
+
+def check_katz(df, order, most=10**6, **sizes):
+    rows = [(r["doc_id"], [w.decode() for w in common.split_words(r["text"])] + ["\x00"]) for r in df.collect()]
+    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 7 == 2
+    c, score, after = katz_brute(rows, held, order)
+    n, v, got = sum(c.values()), len(c), collections.defaultdict(list)
+    for r in katz.katz_scores(df, order=order, **sizes).collect():
+        got[r["doc_id"]].append(r)
+    assert math.isclose(sum(after(()).values()), 1, abs_tol=1e-9)
+    for k, w in rows:
+        if len(w) > most:
+            continue
+        r = min(got[k], key=lambda r: abs(r["n_tokens"] - len(w)))
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), sum(x in c for x in w), n, held(k))
+        assert math.isclose(r["base_score"], sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
+        assert math.isclose(r["score"], score(w), rel_tol=1e-9, abs_tol=1e-9), (k, r["score"], score(w))
+    assert sum(map(len, got.values())) == len(rows)
+
+
+def test_katz(spark, odd, none):
+    rng = random.Random(2)
+    voc = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(voc, [1 / (j + 1) for j in range(40)], k=rng.randint(0, 60)) + ["rare%d" % i] * (i % 9 == 0)), "en", "s", 1) for i in range(300)]
+    df = make(spark, rows)
+    for order in (2, 3, 4):
+        check_katz(df, order)
+    # hot histories are spread over many small partitions
+    for order in (3, 4):
+        check_katz(df.repartition(3), order, chunk_tokens=900, part_tokens=700, hot=20)
+    check_katz(odd, 3, most=50)
     assert katz.katz_scores(none).count() == 0
 
 
-def test_katz_of_order_three(spark, sample):
-    rows = [(r["doc_id"], [w.decode() for w in common.split_words(r["text"])] + ["\x00"]) for r in sample.collect()]
-    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 7 == 2
-    c, n, v, p2, rest = katz_brute(rows, held)
-    c2, c3 = collections.Counter(), collections.Counter()
-    for k, w in rows:
-        if not held(k):
-            w = ["\x00", *w]
-            c2.update(zip(w, w[1:], strict=False))
-            c3.update(zip(w, w[1:], w[2:], strict=False))
-    d = katz.discounts([sum(x == r for x in c3.values()) for r in range(1, 7)])
-    cut = lambda x: d[x] if x <= katz.TOP else 1.0
-    star, low = collections.Counter(), collections.Counter()
-    for (a, b, w), x in c3.items():
-        star[a, b] += cut(x) * x / c2[a, b]
-        low[a, b] += p2(b, w)
-
-    def p3(a, b, w):
-        left = 1 - star[a, b]
-        tight = left < katz.LEAST_MASS
-        if (a, b, w) in c3:
-            return cut(c3[a, b, w]) * c3[a, b, w] / c2[a, b] * (1 - katz.LEAST_MASS if tight else 1)
-        return ((katz.LEAST_MASS if tight else left) / (1 - low[a, b]) if (a, b) in c2 else 1) * p2(b, w)
-
-    for _, w in rows[:4]:
-        assert len(w) < 3 or math.isclose(sum(p3(w[0], w[1], x) for x in c) + p3(w[0], w[1], "no such word"), 1, abs_tol=1e-6)
-    got = {r["doc_id"]: r["score"] for r in katz.katz_scores(sample, order=3).collect()}
-    for k, w in rows:
-        want = math.log10(p2("\x00", w[0])) + sum(math.log10(p3(*x)) for x in zip(["\x00", *w], w, w[1:], strict=False))
-        assert math.isclose(got[k], want, rel_tol=1e-6), k
+def test_katz_on_the_sample(spark, sample):
+    check_katz(sample, 3, most=20)
+
+
+def test_katz_leaves_a_chance_to_unseen_words(spark):
+    rows = [(i, "a b", "en", "s", 1) for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2] + [(k, "zzz a", "en", "s", 1) for k in range(60) if zlib.crc32(str(k).encode()) % 7 == 2]
+    df = make(spark, rows)
+    check_katz(df, 3)
+    assert all(math.isfinite(r["score"]) for r in katz.katz_scores(df).collect())
+    nothing = make(spark, [r for r in rows if r[1] != "a b"])
+    assert {r["score"] for r in katz.katz_scores(nothing).collect()} == {0.0}
 
 
 def test_encoder():
