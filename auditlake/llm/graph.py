@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from auditlake.llm.caps import usable
 from auditlake.llm.common import Scratch
 
-#: Points at which every search begins.
-ENTRIES = 8
+#: Points at which every search begins, at least.
+ENTRIES = 32
+#: Decimals of unit vectors that points of one node have in common.
+_DIGITS = 7
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -30,12 +32,11 @@ def beam_search(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, q: np.nda
     """
     n, m = len(x), len(q)
     seen = np.zeros((m, n), bool)
-    ids, sims = np.full((m, beam), -1, np.int32), np.full((m, beam), -np.inf, np.float32)
+    ids, sims = np.full((m, beam), -1, np.int32), np.full((m, beam), -np.inf)
     k = min(len(entries), beam)
-    ids[:, :k] = entries[:k]
-    sims[:, :k] = q @ x[entries[:k]].T
-    order = np.argsort(-sims, axis=1, kind="stable")
-    ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+    first = q @ x[entries].T
+    order = np.argsort(-first, axis=1, kind="stable")[:, :k]
+    ids[:, :k], sims[:, :k] = entries[order], np.take_along_axis(first, order, 1)
     seen[:, entries] = True
     done = ids < 0
     active = np.arange(m)
@@ -60,7 +61,7 @@ def beam_search(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, q: np.nda
         rows, first, count = np.unique(r, return_index=True, return_counts=True)
         if len(rows):
             at = np.arange(len(r)) - np.repeat(first, count)
-            new_ids, new_sims = np.full((len(rows), count.max()), -1, np.int32), np.full((len(rows), count.max()), -np.inf, np.float32)
+            new_ids, new_sims = np.full((len(rows), count.max()), -1, np.int32), np.full((len(rows), count.max()), -np.inf)
             where = np.repeat(np.arange(len(rows)), count)
             new_ids[where, at], new_sims[where, at] = c, s
             all_ids, all_sims = np.hstack([ids[rows], new_ids]), np.hstack([sims[rows], new_sims])
@@ -95,18 +96,38 @@ def robust_prune(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, degree: int,
     return out
 
 
+def far_points(x: np.ndarray, n: int) -> np.ndarray:
+    """The point nearest to the middle, then always the one farthest from those chosen."""
+    chosen = [int(np.argmax(x @ x.mean(0)))]
+    near = x @ x[chosen[0]]
+    while len(chosen) < min(n, len(x)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    return np.unique(chosen).astype(np.int32)
+
+
+def reached(edges: np.ndarray, start: np.ndarray, seen: np.ndarray) -> None:
+    """Mark all nodes to which edges lead from ``start``."""
+    seen[start] = True
+    while len(start):
+        to = np.unique(edges[start])
+        start = to[to >= 0]
+        start = start[~seen[start]]
+        seen[start] = True
+
+
 def build_graph(x: np.ndarray, degree: int = 32, beam: int = 64, relax: float = 1.2, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Edges (-1: none) and entry points of a robust-pruned graph over unit vectors.
 
     Points come in batches in random order. A beam search on the graph so far proposes the
     neighbours of each, pruning keeps diverse ones, and the edges are added backwards too, pruning
     again where a node has too many. A second round over all points uses the relaxed distance.
+    Entries are far from each other; wherever edges lead nowhere from them, a point becomes one too.
     """
     n = len(x)
     rng = np.random.default_rng(seed)
     edges = np.full((n, degree), -1, np.int32)
-    middle = int(np.argmax(x @ x.mean(0)))
-    entries = np.unique(np.concatenate([[middle], rng.choice(n, min(n, ENTRIES - 1), replace=False)])).astype(np.int32)
+    entries = far_points(x, ENTRIES)
 
     def connect(batch: np.ndarray, slack: float) -> None:
         ids, sims = beam_search(x, edges, entries, x[batch], beam)
@@ -147,22 +168,40 @@ def build_graph(x: np.ndarray, degree: int = 32, beam: int = 64, relax: float =
             connect(order[at : at + step], slack)
             at += step
             step = min(256, max(8, at // 4)) if slack == 1.0 else 256
+    seen = np.zeros(n, bool)
+    reached(edges, entries, seen)
+    while not seen.all():
+        more = np.flatnonzero(~seen)[:1].astype(np.int32)
+        entries = np.append(entries, more)
+        reached(edges, more, seen)
     return edges, entries
 
 
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """The number of each row among the distinct ones, and how many there are."""
+    distinct, back = np.unique(keys, axis=0, return_inverse=True)
+    return back.ravel(), len(distinct)
+
+
 def _index(degree: int, beam: int, relax: float, keep: int):
     def run(table: pa.Table) -> pa.Table:
-        ids, x = table["id"].to_numpy(), matrix(table["v"])
-        order = np.argsort(ids, kind="stable")
-        distinct, at, back = np.unique(x[order], axis=0, return_index=True, return_inverse=True)
-        groups = np.argsort(back.ravel(), kind="stable")
-        ends = np.cumsum(np.bincount(back.ravel(), minlength=len(distinct)))
-        members = [ids[order][groups[e - c : e]][:keep] for e, c in zip(ends, np.bincount(back.ravel(), minlength=len(distinct)), strict=True)]
-        unit = (distinct / np.linalg.norm(distinct, axis=1, keepdims=True)).astype(np.float32)
-        edges, entries = build_graph(unit, degree, beam, relax)
-        first = np.isin(np.arange(len(distinct)), entries)
-        shard = table["shard"][0].as_py()
-        return pa.table({"shard": pa.array([shard] * len(distinct), pa.int32()), "node": pa.array(np.arange(len(distinct)), pa.int32()), "entry": pa.array(first), "members": pa.array(members, pa.list_(pa.int64())), "v": pa.array(list(distinct), pa.list_(pa.float64())), "edges": pa.array(list(edges), pa.list_(pa.int32()))})
+        table = table.sort_by("id")
+        ids, raw = table["id"].to_numpy(), matrix(table["v"])
+        # of equal vectors the smallest ids
+        same, _ = _groups(raw)
+        order = np.argsort(same, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]]))
+        place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        rows = np.sort(order[place < keep])
+        ids, raw = ids[rows], raw[rows]
+        unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+        node, n = _groups(np.round(unit, _DIGITS) + 0.0)
+        head = np.full(n, len(node))
+        np.minimum.at(head, node, np.arange(len(node)))
+        edges, entries = build_graph(unit[head], degree, beam, relax)
+        heads = np.isin(np.arange(len(node)), head)
+        lists = [edges[i] if h else None for i, h in zip(node.tolist(), heads.tolist(), strict=True)]
+        return pa.table({"shard": pa.array([table["shard"][0].as_py()] * len(node), pa.int32()), "node": pa.array(node, pa.int32()), "entry": pa.array(heads & np.isin(node, entries)), "id": pa.array(ids, pa.int64()), "v": pa.array(list(raw), pa.list_(pa.float64())), "edges": pa.array(lists, pa.list_(pa.int32()))})
 
     return run
 
@@ -171,24 +210,31 @@ def _search(beam: int, k: int):
     def run(graph: pa.Table, queries: pa.Table) -> pa.Table:
         out_q, out_id, out_s = [], [], []
         if graph.num_rows and queries.num_rows:
-            graph = graph.sort_by("node")
-            raw, members = matrix(graph["v"]), graph["members"].to_pylist()
+            # rows of a node one after the other, the one with the edges first
+            graph = graph.append_column("rest", pa.array(graph["edges"].is_null())).sort_by([("node", "ascending"), ("rest", "ascending"), ("id", "ascending")])
+            raw, ids, node = matrix(graph["v"]), graph["id"].to_numpy(), graph["node"].to_numpy()
             norm = np.sqrt((raw * raw).sum(1))
-            x = (raw / norm[:, None]).astype(np.float32)
-            edges = graph["edges"].combine_chunks().flatten().to_numpy().reshape(len(x), -1)
-            entries = np.flatnonzero(graph["entry"].to_numpy()).astype(np.int32)
-            ids, q = queries["id"].to_numpy(), matrix(queries["v"])
+            start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            size = np.diff(np.append(start, len(node)))
+            x = raw[start] / norm[start, None]
+            edges = graph["edges"].combine_chunks().drop_null().flatten().to_numpy().reshape(len(x), -1)
+            entries = np.flatnonzero(graph["entry"].to_numpy()[start]).astype(np.int32)
+            own, q = queries["id"].to_numpy(), matrix(queries["v"])
             q_norm = np.sqrt((q * q).sum(1))
-            unit = (q / q_norm[:, None]).astype(np.float32)
             for lo in range(0, len(q), 256):
-                found, _ = beam_search(x, edges, entries, unit[lo : lo + 256], beam)
-                for i, nodes in enumerate(found[:, : 4 * k + 4], lo):
+                found, _ = beam_search(x, edges, entries, q[lo : lo + 256] / q_norm[lo : lo + 256, None], beam)
+                for i, nodes in enumerate(found, lo):
                     nodes = nodes[nodes >= 0]
-                    score = (raw[nodes] * q[i]).sum(1) / (norm[nodes] * q_norm[i])
-                    hits = sorted((-s, m) for s, node in zip(score.tolist(), nodes, strict=True) for m in members[node] if m != ids[i])[:k]
-                    out_q += [ids[i]] * len(hits)
-                    out_id += [m for _, m in hits]
-                    out_s += [-s for s, _ in hits]
+                    n = size[nodes]
+                    rows = np.repeat(start[nodes] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                    rows = rows[ids[rows] != own[i]]
+                    score = (raw[rows] * q[i]).sum(1) / (norm[rows] * q_norm[i])
+                    best = np.lexsort((ids[rows], -score))
+                    # an id may have several vectors
+                    best = best[np.sort(np.unique(ids[rows][best], return_index=True)[1])[:k]]
+                    out_q += [own[i]] * len(best)
+                    out_id += ids[rows][best].tolist()
+                    out_s += score[best].tolist()
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_id, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
     return run
@@ -197,24 +243,27 @@ def _search(beam: int, k: int):
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, shard_rows: int = 8192, query_rows: int = 4096, degree: int = 32, beam: int = 128, build_beam: int = 64, relax: float = 1.2) -> DataFrame:
     """The ``k`` nearest found for each query among all vectors but its own, by cosine.
 
-    Vectors are dealt by the hash of their id to shards of about ``shard_rows``. A task builds the
-    graph of a shard and writes it to the shared folder; equal vectors are one node that keeps its
-    ``k + 1`` smallest ids, as no other copy can be among the ``k`` nearest. Every block of
-    ``query_rows`` queries then searches every shard in a unit of work of its own, so neither the
-    index nor the query set has to fit a task, and the results of the shards are merged. Scores are
-    cosines in double precision of the original vectors.
+    Vectors are dealt by a hash to shards of about ``shard_rows``. A task builds the graph of a
+    shard and writes it to the shared folder. Vectors of one direction (to seven decimals) are one
+    node with all their ids, of equal vectors the ``k + 1`` smallest ids, as no other copy can be
+    among the ``k`` nearest. Searches begin at points far from each other, and at one point of every
+    part that edges don't lead to. Every block of ``query_rows`` queries searches every shard in a
+    unit of work of its own, so neither the index nor the query set has to fit a task, and the
+    results of the shards are merged. All ids of all nodes that a beam ends with are scored, by the
+    cosine in double precision of the original vectors.
 
     Returns ``query_id, rank, vec_id, score``, nearest first, ties to the smaller id. Vectors that
     are null, zero or hold null or non-finite components, and rows with a null id, take no part.
-    Of queries that share an id one is answered. All vectors must have one length.
+    Of queries that share an id one is answered; of searched vectors that share an id, the nearest
+    one counts. All vectors must have one length. Without vectors or queries there is no row.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     clean = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(usable(F.col("v")) & F.col("id").isNotNull())
     base, asked = clean(vectors), scratch.cut(clean(queries).dropDuplicates(["id"]))
     shards, blocks = -(-max(1, base.count()) // shard_rows), -(-max(1, asked.count()) // query_rows)
-    dealt = base.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    graph = scratch.cut(dealt.groupBy("shard").applyInArrow(_index(degree, build_beam, relax, k + 1), "shard int, node int, entry boolean, members array<long>, v array<double>, edges array<int>"))
+    dealt = base.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
+    graph = scratch.cut(dealt.repartitionById(shards, "shard").groupBy("shard").applyInArrow(_index(degree, build_beam, relax, k + 1), "shard int, node int, entry boolean, id long, v array<double>, edges array<int>"))
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = graph.withColumn("part", all_(blocks))
     right = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", all_(shards))
@@ -222,4 +271,4 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     found = scratch.cut(found)
     scratch.keep(found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
