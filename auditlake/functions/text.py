@@ -31,7 +31,7 @@ def _nested(depth: int) -> str:
 
 
 #: A list after IN that holds no sub-query.
-IN_LIST = rf"(?i:(?<![A-Za-z0-9_.])IN)[ \t\n\r\f]*+\({_nested(3)}\)"
+IN_LIST = rf"(?i:(?<![A-Za-z0-9_.])IN)[ \t\n\r\f]*+\({_nested(12)}\)"
 _TOKENS = rf"{LITERAL}|(?:[ \t\n\r\f]|/\*(?s:.*?)(?:\*/|\z))++|{IN_LIST}|[A-Za-z0-9_.]++|(?s:.)"
 
 
@@ -39,7 +39,7 @@ def template(sql: Column) -> Column:
     """The shape of a statement with its literals: comments go, keywords in capitals, IN lists folded.
 
     Line comments go with their line end; block comments and blanks become one space; a list after
-    IN becomes ``IN (?)`` unless it holds a sub-query (lists nested deeper than three levels stay
+    IN becomes ``IN (?)`` unless it holds a sub-query (lists nested deeper than twelve levels stay
     as they are). Literals elsewhere stay as they are.
     """
     bare = F.regexp_replace(sql, rf"({LITERAL}|/\*(?s:.*?)(?:\*/|\z))|--[^\n]*(?:\n|\z)", "$1")

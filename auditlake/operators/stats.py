@@ -23,9 +23,19 @@ def _load() -> list[Column]:
     return [F.count("*").alias("count"), F.sum(_ms()).alias("total_ms"), (F.sum(_ms()) / F.count("*")).alias("avg_ms"), F.max(_ms()).alias("max_ms")]
 
 
-def totals(records: DataFrame) -> DataFrame:
-    """One row: ``files, records, errors``."""
-    return records.agg(F.count_distinct("file").alias("files"), F.count_if("parse_ok").alias("records"), F.count_if(~F.col("parse_ok")).alias("errors"))
+def totals(records: DataFrame, listing: DataFrame | None = None, skipped: DataFrame | None = None) -> DataFrame:
+    """One row: ``files, records, errors, skipped``.
+
+    ``skipped`` has a row per file that was left out as done before. With ``listing(file, size)`` of
+    the files to be read, one that holds something but gave no line was unreadable: an error each.
+    """
+    out = records.agg(F.count_distinct("file").alias("files"), F.count_if("parse_ok").alias("records"), F.count_if(~F.col("parse_ok")).alias("errors"))
+    if listing is not None:
+        lost = listing.filter("size > 0").select("file").distinct().join(records.select("file").distinct(), "file", "left_anti")
+        out = out.join(F.broadcast(lost.agg(F.count("*").alias("_lost")))).withColumn("errors", F.col("errors") + F.col("_lost")).drop("_lost")
+    if skipped is None:
+        return out.withColumn("skipped", F.lit(0).cast("long"))
+    return out.join(F.broadcast(skipped.agg(F.count("*").alias("skipped"))))
 
 
 def per_file(records: DataFrame, listing: DataFrame) -> DataFrame:
@@ -58,8 +68,9 @@ def buckets(records: DataFrame, by: str = "hour") -> DataFrame:
 
 def bucket_bars(bucketed: DataFrame, width: int = 20) -> DataFrame:
     """Add ``bar``: the bucket's count in proportion to the largest one, in blocks."""
-    size = F.floor(F.col("count") * width / F.max("count").over(Window.partitionBy()))
-    return bucketed.withColumn("bar_len", size.cast("long")).withColumn("bar", F.expr("repeat('█', cast(bar_len as int))"))
+    most = bucketed.agg(F.max("count").alias("_most"))  # one row
+    size = F.floor(F.col("count") * width / F.col("_most"))
+    return bucketed.join(F.broadcast(most)).withColumn("bar_len", size.cast("long")).drop("_most").withColumn("bar", F.expr("repeat('█', cast(bar_len as int))"))
 
 
 def slowest(records: DataFrame, n: int = 10) -> DataFrame:
@@ -72,13 +83,14 @@ def slowest(records: DataFrame, n: int = 10) -> DataFrame:
 def digest(records: DataFrame, min_count: int = 1) -> DataFrame:
     """Load by fingerprint: the load columns, and the text and time of the first record in file order.
 
-    The text is normalised once per distinct statement: records are first added up by statement.
+    The fingerprint is taken where records are read, so one shuffle carries partial sums of
+    fingerprints, however many statements differ in their literals.
     """
     first = F.struct("file", "pos")
-    per_sql = records.groupBy("sql").agg(F.count("*").alias("n"), F.sum(_ms()).alias("t"), F.max(_ms()).alias("m"), F.min(first).alias("at"), F.min_by("ts", first).alias("ts"))
-    keyed = per_sql.withColumn("fingerprint", fingerprint(F.col("sql")))
-    out = keyed.groupBy("fingerprint").agg(F.sum("n").alias("count"), F.sum("t").alias("total_ms"), F.max("m").alias("max_ms"), F.min_by("sql", "at").alias("example"), F.min_by("ts", "at").alias("first_seen"))
-    return out.withColumn("avg_ms", F.col("total_ms") / F.col("count")).withColumn("example", snippet(F.col("example"))).filter(F.col("count") >= min_count)
+    keyed = records.select(fingerprint(F.col("sql")).alias("fingerprint"), snippet(F.col("sql")).alias("sql"), "ts", "file", "pos", "exec_time_ms")
+    out = keyed.groupBy("fingerprint").agg(F.count("*").alias("count"), F.sum(_ms()).alias("total_ms"), F.max(_ms()).alias("max_ms"), F.min(F.struct(first.alias("at"), "sql", "ts")).alias("first"))
+    named = out.select("fingerprint", "count", "total_ms", "max_ms", F.col("first.sql").alias("example"), F.col("first.ts").alias("first_seen"), (F.col("total_ms") / F.col("count")).alias("avg_ms"))
+    return named.filter(F.col("count") >= min_count)
 
 
 def top_digest(digested: DataFrame, by: str = "count", n: int | None = None) -> DataFrame:

@@ -9,13 +9,12 @@ from auditlake.functions.text import bucket_high, bucket_low, label, micros, tem
 
 
 def observed(records: DataFrame) -> DataFrame:
-    """Tagged records added up by statement and histogram bucket, with ``template_key`` found once per statement.
+    """Tagged records added up by template and duration, in one shuffle of partial sums.
 
     ``template_key, us, n, first_seen, last_seen``; such rows can be added up again across days.
     """
-    per_sql = records.filter(F.col("tag").isNotNull()).groupBy("sql", micros(F.col("exec_time_ms")).alias("us")).agg(F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
-    keyed = per_sql.withColumn("template_key", template(F.col("sql")))
-    return keyed.groupBy("template_key", "us").agg(F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    keyed = records.filter(F.col("tag").isNotNull()).select(template(F.col("sql")).alias("template_key"), micros(F.col("exec_time_ms")).alias("us"), "ts")
+    return keyed.groupBy("template_key", "us").agg(F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
 def merged(parts: list[DataFrame]) -> DataFrame:
@@ -69,10 +68,10 @@ def hourly(records: DataFrame) -> DataFrame:
 
 def trend_labels(trend: DataFrame) -> DataFrame:
     """Add ``label``: the hour, with the day if there are several days."""
-    day, everything = F.substring("hour", 1, 10), Window.partitionBy()
-    many = F.min(day).over(everything) != F.max(day).over(everything)
+    day = F.substring("hour", 1, 10)
+    days = trend.agg((F.min(day) != F.max(day)).alias("_many"))  # one row
     hour = F.concat(F.substring("hour", 12, 2), F.lit(":00"))
-    return trend.withColumn("label", F.when(many, F.concat(F.substring("hour", 6, 5), F.lit(" "), hour)).otherwise(hour))
+    return trend.join(F.broadcast(days)).withColumn("label", F.when(F.col("_many"), F.concat(F.substring("hour", 6, 5), F.lit(" "), hour)).otherwise(hour)).drop("_many")
 
 
 def user_counts(records: DataFrame) -> DataFrame:
@@ -82,6 +81,8 @@ def user_counts(records: DataFrame) -> DataFrame:
 
 def user_share(counts: DataFrame, n: int = 5) -> DataFrame:
     """The first ``n`` users and ``Others``, with their share in percent: ``slice, count, share``."""
-    ranked = counts.withColumn("r", F.row_number().over(Window.orderBy(F.desc("count"), "username")))
-    sliced = ranked.groupBy(F.when(F.col("r") <= n, F.col("username")).otherwise("Others").alias("slice")).agg(F.sum("count").alias("count")).filter(F.col("count") > 0)
-    return sliced.withColumn("share", 100 * F.col("count") / F.sum("count").over(Window.partitionBy()))
+    top = counts.orderBy(F.desc("count"), "username").limit(n)
+    whole = counts.agg(F.sum("count").alias("_all"))  # one row
+    others = top.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("_top")).join(whole).select(F.lit("Others").alias("slice"), (F.col("_all") - F.col("_top")).alias("count"))
+    sliced = top.select(F.col("username").alias("slice"), "count").unionByName(others).groupBy("slice").agg(F.sum("count").alias("count")).filter(F.col("count") > 0)
+    return sliced.join(F.broadcast(whole)).withColumn("share", 100 * F.col("count") / F.col("_all")).drop("_all")

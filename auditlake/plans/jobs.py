@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auditlake.operators.binding import bind_params
-from auditlake.operators.filters import indicators, pipeline, retain_transactions, stats_any, time_range, txn_sql
+from auditlake.operators.filters import check_patterns, include, indicators, pipeline, retain_transactions, stats_any, time_range, txn_sql
 from auditlake.operators.shaping import export_rows, first_records, project
 from auditlake.operators.stats import bucket_bars, buckets, digest, group_sections, slowest, top_digest, totals
+from auditlake.schema import ORDER
 from auditlake.sources.logs import assemble, parse_sqllog, scan_logs
 
 
@@ -27,17 +29,39 @@ def export_job(
     bind: bool = True,
     style: str | None = None,
     limit: int | None = None,
+    trx_ids: Iterable[str] = (),
+    ordered: bool = False,
+    patterns: Mapping[str, Iterable[str]] | None = None,
 ) -> DataFrame:
-    """Bind, filter, keep whole transactions, shape, limit; binding comes first, so filters can't take its input away."""
+    """Bind, filter, keep whole transactions, shape, limit; binding comes first, so filters can't take its input away.
+
+    Transactions are kept in which some record passes ``transactions``, and those in ``trx_ids``.
+    ``ordered`` gives the rows in the order of files and records. ``patterns`` are include patterns
+    by field, checked before anything runs.
+    """
+    steps = [*steps]
+    if patterns:
+        check_patterns(records.sparkSession, patterns)
+        steps.append(include(patterns))
     good = records.filter("parse_ok")
     bound = bind_params(good, style) if bind else good
     kept = pipeline(bound, steps)
-    if transactions is not None:
-        matched = good.filter(transactions).select("trx_id").distinct()
-        kept = kept.join(matched, "trx_id", "left_semi").select(*kept.columns)
+    given = [*trx_ids]
+    if transactions is not None or given:
+        matched = good.filter(F.lit(False) if transactions is None else transactions).select("trx_id")
+        if given:
+            matched = matched.unionByName(records.sparkSession.createDataFrame([(x,) for x in given], "trx_id string"))
+        kept = kept.join(matched.distinct(), "trx_id", "left_semi").select(*kept.columns)
     if limit is not None:
         kept = first_records(kept, limit)
-    return project(export_rows(kept), fields)
+    shaped = export_rows(kept, keep_order=ordered)
+    return project(shaped.orderBy(*ORDER) if ordered else shaped, fields)
+
+
+def export_counts(records: DataFrame, exported: DataFrame) -> DataFrame:
+    """One row: ``exported`` rows, good records that filters ``skipped``, and ``failed`` lines that are no record."""
+    read = records.agg(F.count_if("parse_ok").alias("good"), F.count_if(~F.col("parse_ok")).alias("failed"))
+    return read.join(F.broadcast(exported.agg(F.count("*").alias("exported")))).select("exported", (F.col("good") - F.col("exported")).alias("skipped"), "failed")
 
 
 def stats_job(records: DataFrame, words: dict | None = None, start: str | None = None, end: str | None = None, top: int = 10, groups: Iterable[str] = ("user",), bucket: str | None = None) -> dict[str, DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from auditlake.fixtures import W_SQL, log_lines, records, write_log_files
 from auditlake.functions import text as X
 from auditlake.operators import binding, filters, shaping, stats, templates
-from auditlake.plans.jobs import digest_job, export_job
+from auditlake.plans.jobs import digest_job, export_counts, export_job
 from auditlake.sources import logs, sinks
 from auditlake.storage import shared_folder
 from auditlake.streaming import logs as streams
@@ -217,9 +217,11 @@ def count_placeholders(spark, d):
 # ---- statistics
 
 
-@_query("SELECT count(DISTINCT file)::BIGINT AS files, count(*)::BIGINT AS records, (SELECT count(*) FROM w WHERE k % 500 = 0)::BIGINT AS errors FROM r")
+@_query("SELECT count(DISTINCT file)::BIGINT AS files, count(*)::BIGINT AS records, (SELECT count(*) FROM w WHERE k % 500 = 0)::BIGINT AS errors, (SELECT count(DISTINCT file) FROM w WHERE substr(file, 8, 4)::INT % 2 = 1)::BIGINT AS skipped FROM r")
 def stats_totals(spark, d):
-    return stats.totals(records(spark, d, bad=True))
+    listing = _listing(spark, d)
+    return stats.totals(records(spark, d, bad=True), listing, logs.skipped_files(listing, _manifest(listing)))
+
 
 
 @_query("SELECT file, count(*)::BIGINT AS records, (count(*) FILTER (WHERE tag IS NOT NULL AND k % 500 = 0))::BIGINT AS errors FROM r GROUP BY file UNION ALL SELECT 'empty.log', 0, 0")
@@ -442,6 +444,38 @@ def table_truncate(spark, d):
     return _table(spark, d, [{}, {"append": True}, {}])
 
 
+@_query(f"SELECT template AS template_key, count(*)::BIGINT AS count, floor(sum(us) / count(*))::BIGINT AS avg_us, min(us) AS min_us, max(us) AS max_us, quantile_disc(us, 0.5) AS p50_us, quantile_disc(us, 0.95) AS p95_us, quantile_disc(us, 0.99) AS p99_us, min(ts) AS first_seen, max(ts) AS last_seen FROM (SELECT *, {_US} AS us FROM w) GROUP BY template")
+def template_table(spark, d):
+    name = f"sql_templates_{uuid.uuid4().hex}"
+    sinks.write_templates(template_stats(spark, d), table=name)
+    return spark.table(name)
+
+
+@_query("SELECT count(*)::BIGINT AS exported, ((SELECT count(*) FROM r) - count(*))::BIGINT AS skipped, (SELECT count(*) FROM w WHERE k % 500 = 0)::BIGINT AS failed FROM r WHERE regexp_matches(username, 'USER[12]')")
+def export_counters(spark, d):
+    read = records(spark, d, bad=True)
+    return export_counts(read, export_job(read, patterns={"username": ["USER[12]"]}, bind=False))
+
+
+@_query("SELECT file, pos, sql FROM r WHERE trx_id IN (SELECT trx_id FROM r WHERE exec_time_ms >= 4950) OR trx_id IN ('3', '5')")
+def export_transactions(spark, d):
+    read = records(spark, d)
+    kept = export_job(read.withColumn("sql", F.to_json(F.struct("file", "pos", "sql"))), transactions=filters.indicators(min_ms=4950), trx_ids=["3", "5"], ordered=True, bind=False)
+    x = F.from_json("sql", "file string, pos long, sql string")
+    return kept.select(x.alias("x")).select("x.*")
+
+
+@_query("SELECT DISTINCT file FROM w WHERE substr(file, 8, 4)::INT % 2 = 0")
+def incremental_log_files(spark, d):
+    listing = logs.list_logs(spark, write_log_files(spark, d))
+    return logs.new_files(listing, listing.filter(F.substring("file", 8, 4).cast("int") % 2 == 1)).select("file")
+
+
+@_query("SELECT file, count(*)::BIGINT AS lines FROM r GROUP BY file")
+def scan_gb18030(spark, d):
+    return logs.decode_gb18030(spark, write_log_files(spark, d)).groupBy("file").agg(F.count("*").alias("lines"))
+
+
 @_query(_digest_sql())
 def json_report(spark, d):
     rows, path = _digest(digest_job(records(spark, d))), shared_folder(spark, "json")

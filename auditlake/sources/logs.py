@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.storage import stat_files
+from auditlake.storage import is_folder, stat_files
 
 #: A record. The groups are time, endpoint, session, thread, user, transaction, statement,
 #: application, address, tag, text, milliseconds, rows, execution id.
@@ -18,6 +18,14 @@ HEADER = r"\A\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d+ \(EP\["
 _MARK = "\x01"
 
 
+def _lines(spark: SparkSession, path: str, tolerant: bool) -> DataFrame:
+    reader = spark.read.option("ignoreCorruptFiles", tolerant).option("ignoreMissingFiles", tolerant)
+    one = not any(c in path for c in "*?[") and not is_folder(spark, path)
+    lines = reader.text(path) if one else reader.option("pathGlobFilter", "*.log").text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return lines.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), place.alias("pos"), "value")
+
+
 def scan_logs(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
     """Lines of a log file, of the ``*.log`` files of a folder, or of those that a pattern names.
 
@@ -25,12 +33,7 @@ def scan_logs(spark: SparkSession, path: str, tolerant: bool = False) -> DataFra
     is an error; a folder without logs gives no rows. ``tolerant`` skips unreadable or vanished
     files, as statistics may; an export should not.
     """
-    reader = spark.read.option("ignoreCorruptFiles", tolerant).option("ignoreMissingFiles", tolerant)
-    wild = any(c in path for c in "*?[")
-    one = path.rsplit("/", 1)[-1]
-    lines = reader.text(path) if "." in one and not wild else reader.option("pathGlobFilter", "*.log").text(path)
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return lines.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), place.alias("pos"), "value")
+    return _lines(spark, path, tolerant)
 
 
 def list_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -38,14 +41,22 @@ def list_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(stat_files(spark, path, "*.log"), "file string, path string, size long, mtime long")
 
 
-def decode_gb18030(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of GB18030 logs as text, with the columns of :func:`scan_logs`.
+def decode_gb18030(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
+    """Lines of GB18030 logs as text: arguments and columns of :func:`scan_logs`, blank lines included.
 
-    Bytes that form no valid text are kept as replacement characters.
+    No byte of a GB18030 character is a line end, so lines are split before they are decoded. Bytes
+    that form no valid text become replacement characters.
     """
-    lines = spark.read.option("pathGlobFilter", "*.log").option("encoding", "GB18030").option("sep", "\x02").option("quote", "").schema("value string").csv(path)
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return lines.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), place.alias("pos"), F.coalesce("value", F.lit("")).alias("value"))
+    lines = _lines(spark, path, tolerant)
+    # Spark decodes by this name only with its older rules, which a column takes on when it is made
+    rules = {n: spark.conf.get(n, None) for n in ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")}
+    try:
+        for n in rules:
+            spark.conf.set(n, "true")
+        return lines.withColumn("value", F.decode(F.col("value").cast("binary"), "GB18030"))
+    finally:
+        for n, v in rules.items():
+            spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
 
 
 def assemble(lines: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``, or under a temporary folder where that is unset."""
+    """A new folder name under ``spark.checkpoint.dir``; where that is unset, under a temporary folder if the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir: name a folder there that driver and executors share")
     return f"{root or 'file://' + tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -21,6 +23,13 @@ def rename(spark: SparkSession, moves: list[tuple[str, str]]) -> None:
         path(old).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(old), path(new))
 
 
+def is_folder(spark: SparkSession, name: str) -> bool:
+    """Whether there is a folder of that name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return any(f.isDirectory() for f in found or ())
+
+
 def stat_files(spark: SparkSession, folder: str, pattern: str = "*") -> list[tuple[str, str, int, int]]:
     """Name, path, size and time of the files that match a pattern below a folder, by path."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")

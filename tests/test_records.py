@@ -43,12 +43,22 @@ def test_scan_assemble_and_list(spark, tmp_path):
 
 def test_gb18030(spark, tmp_path):
     text = line(body="[SEL] SELECT '张三', \"x\\y\". EXECTIME: 1(ms) ROWCOUNT: 1(rows) EXEC_ID: 1.")
-    (tmp_path / "g.log").write_bytes((text + "\n").encode("gb18030"))
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    try:
-        assert [r["value"] for r in logs.decode_gb18030(spark, str(tmp_path)).collect()] == [text]
-    finally:
-        spark.conf.unset("spark.sql.legacy.javaCharsets")
+    lines = [text, "", "  ", text + "\u9f98"]
+    (tmp_path / "a.logs").mkdir()
+    one = tmp_path / "a.logs" / "g.log"
+    one.write_bytes("\n".join(lines).encode("gb18030"))
+    (tmp_path / "a.logs" / "other.txt").write_text("no log")
+    for path in (one, tmp_path / "a.logs", f"{tmp_path}/a.logs/g*"):  # a folder may have a dot in its name
+        assert [r["value"] for r in logs.decode_gb18030(spark, str(path)).orderBy("pos").collect()] == lines
+        assert logs.scan_logs(spark, str(path)).count() == 4
+
+
+def test_unreadable_and_skipped_files_are_counted(spark, tmp_path):
+    (tmp_path / "a.log").write_text(line() + "\n")
+    (tmp_path / "empty.log").write_text("")
+    listing = logs.list_logs(spark, str(tmp_path)).unionByName(spark.createDataFrame([("gone.log", "/gone.log", 9, 1)], "file string, path string, size long, mtime long"))
+    read = logs.parse_sqllog(logs.scan_logs(spark, str(tmp_path), tolerant=True))
+    assert stats.totals(read, listing, listing.filter("file = 'empty.log'")).first().asDict() == {"files": 1, "records": 1, "errors": 1, "skipped": 1}
 
 
 def test_manifest(spark):
@@ -107,7 +117,7 @@ def test_chart_data(spark):
 def test_stats_and_jobs(spark):
     r = parsed(spark, [line(1, user=""), line(2, user="x", body="[SEL] SELECT 2"), line(3, user="x"), "junk"])
     got = {k: v.collect() for k, v in jobs.stats_job(r, groups=["user", "ip"], bucket="hour").items()}
-    assert got["totals"][0].asDict() == {"files": 1, "records": 3, "errors": 1}
+    assert got["totals"][0].asDict() == {"files": 1, "records": 3, "errors": 1, "skipped": 0}
     assert sorted((g["section"], g["key"], g["count"], g["total_ms"]) for g in got["groups"]) == [("ip", "10.0.0.1", 3, 10.0), ("user", "(unknown)", 1, 5.0), ("user", "x", 2, 5.0)]
     assert [b["bar_len"] for b in got["buckets"]] == [20] and [s["rank"] for s in got["slow"]] == [1, 2]
     digest = jobs.digest_job(r).collect()
