@@ -56,7 +56,7 @@ class Filters:
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
         """For each row of unit vectors the numbers of all filters that it exceeds, and its best few of a set at least."""
         sets = [self._decode(x, k) for k in range(SETS)]
-        return [np.concatenate(found) for found in zip(*sets, strict=True)]
+        return [np.sort(np.concatenate(found)) for found in zip(*sets, strict=True)]
 
     def _decode(self, x: np.ndarray, k: int) -> list[np.ndarray]:
         x = x @ self.turns[k]
@@ -107,6 +107,17 @@ def _links(least: float):
         if rows["bi"][0].as_py() != rows["bj"][0].as_py():
             ok &= side[:, None] != side[None, :]
         i, j = np.nonzero(ok)
+        if len(i):  # pairs that also meet in an earlier filter are left to it
+            lists = rows["before"].combine_chunks()
+            filters, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            row = np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy()))
+            met = np.zeros(len(i), bool)
+            for lo in range(0, len(filters), 4096):
+                some = (at >= lo) & (at < lo + 4096)
+                has = np.zeros((len(x), min(4096, len(filters) - lo)), np.float32)
+                has[row[some], at[some] - lo] = 1
+                met |= (has @ has.T)[i, j] > 0
+            i, j = i[~met], j[~met]
         a, b = ids[i], ids[j]
         return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
@@ -133,7 +144,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Equal vectors of a label are first taken as one. Each of the others is list-decoded to the
     filters whose spherical cap it lies in; vectors meet in their common filters, and the cosine
-    is then taken in double precision on the original components. Buckets of more than ``BLOCK``
+    is then taken in double precision on the original components. A pair is reported by the first
+    filter that both have. Buckets of more than ``BLOCK``
     vectors are split, and every two blocks meet in a unit of work of their own, so a large group
     neither gathers in one task nor is cut. The number of filters follows the size of the
     largest label, which keeps chance meetings per vector constant as the table grows. No vector
@@ -143,7 +155,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     zero, hold null or non-finite components or have a null label, and rows with a null id, link
     with nothing; the latter have a null component and are kept. Rows that share an id and a
     vector are copies of each other; rows that share an id but no vector are one vector that links
-    through both. All vectors must have one length. Other columns are not read.
+    through both. An empty table gives no row. All vectors must have one length. Other columns are not read.
     """
     scratch = Scratch(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).cast("long").alias("label"))
@@ -153,14 +165,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     top = classes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).agg(F.max("n"), F.max("dim")).first()
     filters = Filters(top[1] or 2, top[0] or 1, least)
     listed = scratch.cut(classes.select("id", "label", "v").mapInArrow(_decode(filters), f"id long, label long, v {dict(vectors.dtypes)[vector_col]}, filters array<long>"))
-    spread = listed.select("id", "label", "v", F.explode("filters").alias("f"))
+    # each row also has the filters before its own, by which a pair is reported once
+    spread = listed.select("id", "label", "v", "filters", F.posexplode("filters").alias("p", "f")).select("id", "label", "v", "f", F.slice("filters", F.lit(1), F.col("p")).alias("before"))
     hot = scratch.cut(spread.groupBy("label", "f").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK).select("label", "f", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
     if hot.isEmpty():
         units = spread.select("*", F.lit(0).alias("block"), F.lit(0).alias("bi"), F.lit(0).alias("bj"))
     else:
         units = spread.join(hot, ["label", "f"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         units = units.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        units = units.select("id", "label", "v", "f", "block", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"))
+        units = units.select("id", "label", "v", "f", "before", "block", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"))
     dealt = units.repartition("label", "f", "bi", "bj").sortWithinPartitions("label", "f", "bi", "bj")
     links = scratch.cut(dealt.mapInArrow(_links(least), "a long, b long").distinct())
     comps = components(scratch, links)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,7 +20,6 @@ FAMILIES = {
     "slavic": ("ru", "uk", "be", "pl", "cs", "sk", "bg", "sr", "hr", "sl"),
 }
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def features(texts: list[str | None], width: int = 4096) -> np.ndarray:
@@ -101,7 +99,7 @@ class Model:
         pair = {k: self._chance(x, f) for k, f in self.pairs.items()}
         out, score = [], []
         for i, t in enumerate(texts):
-            if not self.names or not t or not _LETTER.search(t):
+            if not self.names or not t or not any(map(str.isalpha, t)):
                 out.append(UNKNOWN)
                 score.append(0.0)
                 continue
@@ -130,11 +128,9 @@ def train(labelled: DataFrame, per_language: int = 800, families: dict[str, tupl
     """
     ship(labelled.sparkSession)
     rows = labelled.filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    share = {r["lang"]: min(1.0, per_language / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    pick: Column = F.lit(False)
-    for lang, p in share.items():
-        pick |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(p * 1_000_000))
-    got = rows.filter(pick).select("lang", "text").mapInArrow(_sampled, "lang string, x binary").collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    pick = F.pmod(F.xxhash64("id"), F.lit(1 << 53)) / F.lit(float(1 << 53)) < per_language / F.col("n")
+    got = rows.join(sizes, "lang").filter(pick).select("lang", "text").mapInArrow(_sampled, "lang string, x binary").collect()
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, 4096), np.float32)
     return Model(x, [r["lang"] for r in got], families)
 

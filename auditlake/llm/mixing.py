@@ -45,6 +45,31 @@ def flight(sizes: list[int], pi: list[float], rng: random.Random, spare: int = 0
     return [float(round(p)) if not _TINY < p < 1 - _TINY else p for p in out]
 
 
+def settle(sizes: list[int], pi: list[float], rng: random.Random, large: float = 0.05) -> list[float]:
+    """Decide units of more than the share ``large`` of all expected tokens first, the largest ones before the others.
+
+    Each is taken with its probability; what it has more or less than expected is made up for by
+    the probabilities of the smaller units, in proportion to their variance. As that is linear,
+    every expectation stays, and so does the total of tokens. Where the smaller ones can't make up
+    for it, a unit stays undecided.
+    """
+    p, z = np.array(pi), np.array(sizes, float)
+    free = (p > _TINY) & (p < 1 - _TINY)
+    total = float((p * z).sum())
+    for i in sorted(np.flatnonzero(free).tolist(), key=lambda i: -sizes[i]):
+        if sizes[i] <= large * total:
+            break
+        took = 1.0 if rng.random() < p[i] else 0.0
+        rest = free & (z < z[i])
+        w = np.where(rest, p * (1 - p), 0.0)
+        if not (w * z).sum():
+            continue
+        new = p - (took - p[i]) * z[i] * w / (w * z).sum()
+        if new[rest].min() >= 0 and new[rest].max() <= 1:
+            new[i], free[i], p = took, False, new
+    return p.tolist()
+
+
 def land(sizes: list[int], pi: list[float]) -> list[float]:
     """Decide the last few units: the choice whose tokens, then documents, come nearest to what was expected."""
     live = [i for i, p in enumerate(pi) if 0 < p < 1]
@@ -59,9 +84,10 @@ def land(sizes: list[int], pi: list[float]) -> list[float]:
 
 def _flown(level: int, last: bool):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        t = t.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("size", "ascending")])
+        t = t.sort_by([("size", "descending"), ("h", "ascending"), ("doc_id", "ascending")])
         sizes, pi = t["size"].to_pylist(), t["pi"].to_pylist()
         rng = random.Random(f"{level}:{key[0].as_py()}:{key[1].as_py()}")
+        pi = settle(sizes, pi, rng)
         pi = flight(sizes, pi, rng, LANDING - 2 if last else 0)
         return t.set_column(t.schema.get_field_index("pi"), "pi", pa.array(land(sizes, pi) if last else pi, pa.float64()))
 
@@ -96,7 +122,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Sources in code point order, null last, get ``weights`` in turn; see :func:`source_targets`. A
     source with target/size ``r`` takes every document ``floor(r)`` times, and once more with
     probability ``r - floor(r)``, decided by the cube method balanced on tokens and documents. The
-    flight runs in blocks of about ``block`` documents, formed by the hash of the id; at most two
+    flight runs in blocks of about ``block`` documents, formed by the hash of id and text, texts that
+    make up much of a block being decided first; at most two
     undecided documents of each block meet in the blocks of the next level, until one block per
     source is left, whose last dozen land nearest to the target. So no task ever sees a whole source,
     and as blocks, their order and their random numbers follow from the ids, reruns agree.
@@ -108,11 +135,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = Scratch(docs.sparkSession)
     size = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(F.col(text_col), F.lit(WORD))).cast("long")
-    rows = scratch.cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *[F.col(c).alias(f"carry_{c}") for c in carry]))
+    rows = scratch.cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("words_hash"), *[F.col(c).alias(f"carry_{c}") for c in carry]))
     per = scratch.cut(source_targets(rows, weights, most))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate + _TINY)
-    h = F.xxhash64("doc_id", "size")
+    h = F.xxhash64("doc_id", "size", "words_hash")
     state = rows.join(per.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).select(
         "doc_id", h.alias("h"), "sid", "size", whole.cast("int").alias("base"),
         F.greatest(F.lit(0.0), rate - whole).alias("pi"), F.pmod(h, F.ceil(F.col("docs") / block)).cast("int").alias("block"),

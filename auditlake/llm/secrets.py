@@ -24,6 +24,8 @@ GATE = {
     "hex": r"[0-9a-f]{24}",
     "token": r"[A-Za-z0-9+/_-]{24}",
 }
+#: Matches of a text that are gathered at a time.
+_PIECE = 128
 #: Runs shorter than these never count, so the scans may step over them.
 FAST = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}", "token": r"[A-Za-z0-9+/_-]{24,}"}
 
@@ -39,7 +41,6 @@ def _found(text: Column, kind: str) -> Column:
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if kind == "assign" else hits
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     rows = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.coalesce(x["gap"], F.lit(0))
@@ -48,7 +49,16 @@ def _found(text: Column, kind: str) -> Column:
         keep = F.length(x["value"]) >= LEAST[kind]
         return F.struct(F.coalesce(end, begin).alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    out = F.aggregate(rows, start, step, lambda acc: acc["out"])
+    # in pieces, as an array is copied whenever it grows
+    pieces = F.sequence(F.lit(0), F.floor(F.greatest(F.size(rows) - 1, F.lit(0)) / _PIECE).cast("int"))
+    whole = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<kind:string,start:int,end:int,value:string>>>").alias("out"))
+
+    def piece(acc: Column, i: Column) -> Column:
+        begin = F.struct(acc["at"].alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("out"))
+        got = F.array(F.aggregate(F.slice(rows, i * _PIECE + 1, F.lit(_PIECE)), begin, step))
+        return F.transform(got, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))[0]
+
+    out = F.aggregate(pieces, whole, piece, lambda acc: F.flatten(acc["out"]))
     if kind == "token":
         mixed = lambda v: v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9].*[0-9]")
         out = F.filter(out, lambda s: mixed(s["value"]))
@@ -76,7 +86,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns one row per input row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans``
     (kind:start:end in code points, end exclusive), ``n_live`` and ``n_example`` (candidates by
     verdict, a doc's repeats of a value counted each), ``live_spans`` (the spans of the live
-    ones) and the columns named in ``carry``. A null text counts as empty. A null owner or
+    ones) and the columns named in ``carry``. A null text counts as empty. An empty table gives no row. A null owner or
     repository counts as one owner or repository of its own. Repeated rows are each reported.
     Other columns, whatever their names, are not read.
     """

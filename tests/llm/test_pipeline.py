@@ -36,6 +36,16 @@ def test_stages(spark, sample):
     assert {k: v * sizes[k] for k, v in count.items()} == pieces
 
 
+def test_run_is_its_stages_one_after_the_other(spark, sample):
+    docs = sample
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "").persist()
+    key = lambda rows: collections.Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
+    tokens = lambda rows: sum(r["length"] for r in rows)
+    got, want = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect(), docs.collect()
+    assert {k[0] for k in key(got)} == {k[0] for k in key(want)} and tokens(got) == tokens(want)
+
+
 def test_one_of_two_texts_of_an_id_is_a_copy(spark):
     texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "ab"]
     rows = [(3, texts[0], "en", "s", 1), (5, texts[0], "en", "s", 1), (5, texts[1], "en", "s", 1), (9, texts[1], "en", "s", 1)]

@@ -50,6 +50,27 @@ def test_caps(spark, rows):
     assert all(r["kept"] for r in caps.near_vectors(make(spark, rows[400:])).collect())
 
 
+def test_pairs_at_the_threshold_and_a_chain(spark):
+    rng = np.random.default_rng(6)
+    rows, n = [], 0
+    unit = lambda v: v / np.linalg.norm(v)
+    for least in (0.925, 0.9299, 0.9301, 0.935, 0.95):
+        for _ in range(40):
+            a, b = unit(rng.standard_normal(64)), rng.standard_normal(64)
+            b = unit(b - (b @ a) * a)
+            rows += [(n, a.tolist(), 1), (n + 1, (3 * (least * a + np.sqrt(1 - least**2) * b)).tolist(), 1)]
+            n += 2
+    a, b = unit(rng.standard_normal(64)), rng.standard_normal(64)
+    b = unit(b - (b @ a) * a)
+    rows += [(1000 + i, (np.cos(0.35 * i) * a + np.sin(0.35 * i) * b).tolist(), 1) for i in range(8)]  # each near the next only
+    got = {r["vec_id"]: r for r in caps.near_vectors(make(spark, rows)).collect()}
+    x = np.array([np.float32(r[1]) for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = (x @ x.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    assert [got[r[0]]["n_links"] for r in rows] == link.sum(1).tolist()
+    assert all(got[1000 + i]["component_id"] == 1000 and got[1000 + i]["n_links"] == (1 if i in (0, 7) else 2) for i in range(8))
+
+
 def test_large_buckets_meet_in_blocks(spark, rows, monkeypatch):
     monkeypatch.setattr(caps, "BLOCK", 8)
     split = sorted(map(str, caps.near_vectors(make(spark, rows)).collect()))
