@@ -64,3 +64,51 @@ r(id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, l.b FROM r JOIN l O
 m AS (SELECT id, min(c) AS c FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept FROM v JOIN m ON id = vec_id LEFT JOIN n ON a = vec_id
 """
+
+
+def op11(rounds: int = 5) -> str:
+    """k-means with integer components, a few common table expressions for each round."""
+    parts = [
+        """v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1)::INT AS c, v FROM v QUALIFY c < 40)"""
+    ]
+    for k in range(rounds + 1):
+        parts.append(f"""d{k} AS MATERIALIZED (
+  SELECT vec_id, any_value(v) AS v, min({{'d': d, 'c': c}}) AS m FROM (
+    SELECT vec_id, v.v, c, list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c{k}.v[i]) * (v.v[i] - c{k}.v[i])))::BIGINT AS d FROM v CROSS JOIN c{k}) GROUP BY vec_id)""")
+        if k < rounds:
+            parts.append(f"""s{k} AS (SELECT m.c AS c, i, sum(v[i])::HUGEINT AS s, count(*) AS n FROM d{k}, range(1, 65) t(i) GROUP BY 1, 2),
+m{k} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{k} GROUP BY c),
+c{k + 1} AS MATERIALIZED (SELECT c, coalesce(m{k}.v, c{k}.v) AS v FROM c{k} LEFT JOIN m{k} USING (c))""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, m.c AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM d{rounds} JOIN c{rounds} ON c = m.c"""
+
+
+OP13 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (
+    SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w CROSS JOIN range(1, 6) t(k) WHERE len(ws) >= k)
+), f AS MATERIALIZED (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+cuts AS (
+  SELECT lang, phrase, a, j, array_to_string(ws[1:j], ' ') AS lp, array_to_string(ws[j + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS j FROM c)
+), s AS (
+  SELECT cuts.lang, cuts.phrase, a, n, j, x.f AS l, y.f AS r, 1000 * a * n // (x.f * y.f) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = lp JOIN f y ON y.lang = cuts.lang AND y.phrase = rp JOIN n ON n.lang = cuts.lang
+), low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT DISTINCT lang, array_to_string(ws[i:i + z - 1], ' ') AS phrase, a FROM (
+    SELECT lang, ws, a, z, unnest(range(1, k - z + 2)) AS i FROM c CROSS JOIN range(2, 5) t(z) WHERE z < k)
+), top AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low
+  WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = low.lang AND i.phrase = low.phrase AND 100 * i.a >= 100 * low.a)
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM top WHERE rank <= 2000
+"""

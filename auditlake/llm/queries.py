@@ -7,17 +7,21 @@ from collections.abc import Callable
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auditlake.llm import oracles
 from auditlake.llm.binary import token_table
 from auditlake.llm.caps import near_vectors
+from auditlake.llm.centroids import cluster_vectors
 from auditlake.llm.chaining import repeated_passages
 from auditlake.llm.graph import nearest
 from auditlake.llm.katz import katz_scores
 from auditlake.llm.langid import language_id
+from auditlake.llm.licences import licence_scan
 from auditlake.llm.minhash import near_duplicates
 from auditlake.llm.mixing import mix_sources
 from auditlake.llm.packing import pack_documents
+from auditlake.llm.phrases import collocations
 from auditlake.llm.secrets import secret_scan
 
 
@@ -66,6 +70,20 @@ def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_table(spark, sf_dir, "embeddings")).drop("candidates")
+
+
+def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licence_scan(_table(spark, sf_dir, "documents"))
+    span = "concat_ws(':', s.label, s.first, s.last)"
+    return found.withColumn("spans", F.expr(f"array_join(transform(spans, s -> {span}), ',')"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -78,9 +96,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_katz_scores": op8_katz_scores,
         "op9_token_files": op9_token_files,
         "op10_packing": op10_packing,
+        "op11_centroids": op11_centroids,
+        "op12_licences": op12_licences,
+        "op13_collocations": op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": oracles.OP1, "op2_minhash_dedup": oracles.OP2, "op3_cap_dedup": oracles.OP3}
+    return {"op1_secret_scan": oracles.OP1, "op2_minhash_dedup": oracles.OP2, "op3_cap_dedup": oracles.OP3, "op11_centroids": oracles.op11(), "op13_collocations": oracles.OP13}
