@@ -6,6 +6,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 
 from auditlake.llm import centroids, licences, phrases
 from auditlake.llm.common import Scratch
@@ -87,7 +89,9 @@ def test_equal_vectors_spread(spark):
     rows = [(i, [1.0, 2.0]) for i in range(4000)]
     scratch = Scratch(spark)
     kept = scratch.cut(spark.createDataFrame([(i, [256, 512]) for i, _ in rows], "vec_id long, v array<long>"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     blocks = centroids.zone_maps(kept, scratch, 2, 4, 64)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert max(r["n"] for r in blocks.selectExpr("size(ids) AS n").collect()) <= 64
     assert len({r["f"] for r in blocks.selectExpr("_metadata.file_name AS f").collect()}) > 1
 
@@ -159,7 +163,7 @@ def test_licence_spans(spark):
     assert 0.75 <= got[2]["score"] < 1 and got[4]["score"] == 0 and got[7]["base_labels"] == "apache"
     assert sum(s["share"] == 1 for s in got[8]["spans"]) >= 400  # a long text, every copy found
     mine = licences.licence_scan(make(spark, [(1, "my own grant of all my rights", "en", "s", 1)]), {"own": ["My own grant of all rights"]}, {}).first()
-    assert (mine["labels"], mine["n_base"], mine["score"]) == ("own", 0, 5 / 6 if mine["score"] < 1 else 1.0)
+    assert (mine["labels"], mine["n_base"], mine["score"]) == ("own", 0, 5 / 6)
 
 
 def phrase_rows(docs, least, longest, top):
@@ -201,8 +205,7 @@ def test_phrases(spark, sample, odd, none):
         texts.append((rng.choice(["en", "de", None, "", "und"]), "".join(w + rng.choice([" ", "  ", "\t", ". ", "\n", ",", " "]) for w in t)))
     texts += [("en", "ha " * 500), ("en", ". , ;"), ("en", None), ("xx", ""), ("en", "hot hot spot " * 90)] + [("en", "this very copy is here")] * 60
     df = make(spark, [(i, t, lang, "s", 1) for i, (lang, t) in enumerate(texts)])
-    for shards, slots in ((3, 2**16), (2, 1)):  # with a single slot everything seems active, and counts stay exact
-        assert mined(df, least=12, longest=5, top=40, shards=shards, slots=max(slots, 2**15)) == phrase_rows(texts, 12, 5, 40)
+    assert mined(df, least=12, longest=5, top=40, shards=3) == phrase_rows(texts, 12, 5, 40)
     assert mined(df, least=12, longest=3, top=40, shards=3, slots=64) == phrase_rows(texts, 12, 3, 40)  # nearly every slot is shared
     assert mined(none) == [] and mined(odd, least=10**6) == []
     assert mined(odd, least=20) == phrase_rows([(r["lang"], r["text"]) for r in odd.collect()], 20, 5, 2000)
@@ -211,9 +214,6 @@ def test_phrases(spark, sample, odd, none):
 def test_long_texts_are_cut_between_pieces(spark, monkeypatch):
     monkeypatch.setattr(phrases, "HELD", 50)  # in this process only; tasks have their own
     run = phrases._tokenised(2, "")
-    import pyarrow as pa
-    from pyspark import TaskContext
-
     monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
     text = "a b c d e. " * 40 + "x " * 200 + ". " + "f g. " * 30
     rows = [r for b in run(iter([pa.record_batch({"lang": ["en"], "text": [text]})])) for r in b.to_pylist()]
