@@ -3,23 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import HASH_CACHE, Scratch, mix, slices
+from auditlake.llm.common import Scratch, mix, slices
 
-#: Words that a task holds at once.
-HELD = 1_000_000
+#: Words that a task holds at once, and words of a row of the table of hashed words.
+HELD, ROW = 1_000_000, 30_000
+#: Words whose hashes a task remembers.
+KNOWN = 150_000
+#: Words of a shard for each bucket of counts of two-word phrases; the other lengths, of which fewer are active, take eight times as many.
+BUCKET = 40_000
 #: A-Z lowered, tab as space, the ends of pieces as one mark: no UTF-8 text has that byte.
 _MARK = 0xFF
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else _MARK if c in b".,;:!?\n\v\f\r" else c for c in range(256))
 _TOKENS = pa.schema([("lang", pa.string()), ("shard", pa.int32()), ("n", pa.int64()), ("tokens", pa.binary()), ("words", pa.list_(pa.string()))])
-_COUNTS = pa.schema([("lang", pa.string()), ("key", pa.binary()), ("a", pa.int32()), ("slot", pa.int32()), ("c", pa.int64())])
+#: Counts of phrases of one language and length whose hashes fall into one bucket, as arrays side by side:
+#: words (64-bit hashes), the step in which a phrase became active, how often it was counted.
+_PART = [("lang", pa.string()), ("n", pa.int32()), ("bucket", pa.int64()), ("words", pa.binary()), ("since", pa.binary()), ("count", pa.binary())]
+_FOUND = pa.schema([*_PART, ("old", pa.bool_())])
+_MERGED = pa.schema([*_PART, ("over_words", pa.binary()), ("over_count", pa.binary()), ("fresh", pa.list_(pa.int32()))])
+_PART_DDL = "lang string, n int, bucket long, words binary, since binary, count binary"
 
 
 class _Hashes(dict):
@@ -34,7 +45,7 @@ class _Hashes(dict):
         self[bytes([_MARK])] = 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= HASH_CACHE:
+        if len(self) >= KNOWN:
             self.forget()
         self[word] = h = xxhash.xxh64_intdigest(word + self.salt, seed=42) or 1
         self.new.append(word)
@@ -53,10 +64,10 @@ def _tokenised(shards: int, salt: str):
                 ends = np.flatnonzero(whole == 0)  # the last word is an end
                 at = 0
                 while at < len(whole):
-                    if at + HELD >= len(whole):
+                    if at + ROW >= len(whole):
                         to = len(whole)
                     else:  # the last end that fits, or else the first one
-                        k = np.searchsorted(ends, at + HELD)
+                        k = np.searchsorted(ends, at + ROW)
                         to = int(ends[k - 1] if k and ends[k - 1] >= at else ends[k]) + 1
                     piece, at = whole[at:to], to
                     given[lang] = (given.get(lang, part - 1) + 1) % shards
@@ -82,86 +93,123 @@ def _tokenised(shards: int, salt: str):
     return run
 
 
-def _grouped(h: np.ndarray, at: np.ndarray, acc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of ``n`` words that start at ``at``: their words, a place of each, and how often each is there.
+def _seed(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")))
 
-    Sorted by hash and told apart by their words, so that equal hashes do no harm.
+
+def _longer(acc: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of phrases that are one word longer."""
+    return mix(acc * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def _grouped(words: np.ndarray, acc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal rows of ``words`` stand together, by hash, and where each group starts.
+
+    Groups are told apart by their words, so that equal hashes of different phrases do no harm.
     """
     order = np.argsort(acc, kind="stable")
-    at = at[order]
-    words = np.stack([h[at + j] for j in range(n)], axis=1)
-    first = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]).any(axis=1)])) if len(at) else np.empty(0, np.int64)
-    return words[first], order[first], np.diff(np.append(first, len(at)))
+    sorted_ = words[order]
+    return order, np.flatnonzero(np.concatenate([[True], (sorted_[1:] != sorted_[:-1]).any(axis=1)]))
 
 
-def _counted(sieve, step: int, shards: int, longest: int):
+def _counted(sieve, step: int, shards: int, longest: int, buckets: int):
     """Counts of the phrases that are active in this step, in one shard."""
 
-    def count(lang: str, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def parts(lang: str, n: int, words: np.ndarray, acc: np.ndarray, since: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order, first = _grouped(words, acc)
+        c = np.diff(np.append(first, len(order)))
+        at = order[first]
+        words, since, bucket = words[at], since[at], (acc[at] >> np.uint64(32)) * np.uint64(buckets if n == 2 else 1 + buckets // 8) >> np.uint64(32)
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))  # hashes rise, and buckets with them
+        rows = [(lang, n, int(bucket[i]), words[i:j].tobytes(), since[i:j].astype(np.uint16).tobytes(), c[i:j].astype(np.int64).tobytes(), False) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
+
+    def count(lang: str, h: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
         table = sieve.value
         mask = np.uint64(table.shape[1] - 1)
-        ok = h != 0
-        acc = mix(h ^ np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))))
-        reach = np.where(ok, table[0][(acc & mask).astype(np.int64)], 0).astype(np.int32)
-        at, since = np.flatnonzero(ok), 0
-        for n in range(1, longest + 1):
-            if n > 1:
-                both = (reach[:-1] > 0) & (reach[1:] > 0)
-                at = np.flatnonzero(both)
-                if not len(at):
-                    return
-                since = np.maximum(reach[at], reach[at + 1])
-                own = mix(acc[at] * np.uint64(0x9E3779B97F4A7C15) + h[at + n - 1])
-                acc = np.zeros(len(h), np.uint64)
-                acc[at] = own
-                reach = np.zeros(len(h), np.int32)
-                if n < longest:
-                    reach[at] = table[n - 1][(own & mask).astype(np.int64)]
-                active = step < since + shards
-                at, since = at[active], since[active]
-            elif step >= shards:
-                continue
-            words, place, c = _grouped(h, at, acc[at], n)
-            m = len(words)
-            if m:
-                keys = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer((np.arange(m + 1) * 8 * n).astype(np.int32)), pa.py_buffer(words.astype(">u8").tobytes())])
-                slot = (acc[at[place]] & mask).astype(np.int32)
-                a = since[place].astype(np.int32) if n > 1 else np.zeros(m, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), m), keys, pa.array(a), pa.array(slot), pa.array(c.astype(np.int64))], schema=_COUNTS)
+        at = np.flatnonzero(h)
+        acc = np.zeros(len(h), np.uint64)
+        acc[at] = mix(h[at] ^ _seed(lang))
+        if step < shards:
+            yield from parts(lang, 1, h[at][:, None], acc[at], np.zeros(len(at), np.int32))
+        for n in range(2, most + 1):
+            reach = np.zeros(len(h) + 1, np.int32)
+            reach[at] = table[n - 2][(acc[at] & mask).astype(np.int64)]
+            at = np.flatnonzero((reach[:-1] > 0) & (reach[1:] > 0))
+            since = np.maximum(reach[at], reach[at + 1])
+            own = _longer(acc[at], h[at + n - 1])
+            acc = np.zeros(len(h), np.uint64)
+            acc[at] = own
+            active = at[step < since + shards]
+            if len(active):
+                yield from parts(lang, n, np.stack([h[active + j] for j in range(n)], axis=1), acc[active], since[step < since + shards])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
         size = 0
+        # the longest phrases that became active within the last cycle; longer ones need no look
+        most = max([n for n in range(2, longest + 1) if (sieve.value[n - 2] > max(0, step - shards)).any()], default=1)
         for b in slices(batches, 1):
-            tokens = np.frombuffer(b["tokens"][0].as_buffer(), np.uint64).copy()
-            held.setdefault(b["lang"][0].as_py(), []).append(tokens)
+            tokens = np.frombuffer(b["tokens"][0].as_buffer(), np.uint64)
+            held.setdefault(b["lang"][0].as_py(), []).append(tokens.copy())
             size += len(tokens)
             if size >= HELD:
                 for lang, arrays in held.items():
-                    yield from count(lang, np.concatenate(arrays))
+                    yield from count(lang, np.concatenate(arrays), most)
                 held, size = {}, 0
         for lang, arrays in held.items():
-            yield from count(lang, np.concatenate(arrays))
+            yield from count(lang, np.concatenate(arrays), most)
 
     return run
 
 
-def _tokens(docs: DataFrame, scratch: Scratch, shards: int, lang_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Hashed words in shards, and the words by hash; salted anew should two words have one hash."""
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    salt = ""
-    while True:
-        tokens = scratch.cut(rows.mapInArrow(_tokenised(shards, salt), "lang string, shard int, n long, tokens binary, words array<string>"))
-        h = F.xxhash64(F.concat("word", F.lit(salt)))
-        known = tokens.select(F.explode("words").alias("word")).select(F.when(h == 0, F.lit(1).cast("long")).otherwise(h).alias("h"), "word")
-        words = scratch.cut(known.groupBy("h").agg(F.min("word").alias("word"), F.max("word").alias("other")))
-        if words.filter("word <> other").isEmpty():
-            return tokens, words.select(F.unhex(F.lpad(F.hex("h"), 16, "0")).alias("w"), "word")
-        scratch.drop(tokens, words)
-        salt += "'"
+def _added(sieve, step: int, shards: int, longest: int, least: int):
+    """One bucket's counts so far: those that go on, those whose cycle is over, and slots of phrases that have just reached ``least``."""
+
+    def added(lang: str, n: int, bucket: int, table: pa.Table) -> tuple:
+        joined = lambda x, kind: np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in table[x]])
+        words, since, c = joined("words", np.uint64).reshape(-1, n), joined("since", np.uint16), joined("count", np.int64)
+        old = c * np.repeat(np.array(table["old"].to_pylist()), [len(v.as_buffer()) // 8 for v in table["count"]])
+        acc = mix(words[:, 0] ^ _seed(lang))
+        for j in range(1, n):
+            acc = _longer(acc, words[:, j])
+        order, first = _grouped(words, acc)
+        c, old, at = np.add.reduceat(c[order], first), np.add.reduceat(old[order], first), order[first]
+        words, since, acc = words[at], since[at], acc[at]
+        fresh = np.empty(0, np.int32)
+        if n < longest:
+            slot = (acc & np.uint64(sieve.value.shape[1] - 1)).astype(np.int64)
+            fresh = np.unique(slot[(c >= least) & (old < least) & (sieve.value[n - 1][slot] == 0)])
+        over = since.astype(np.int64) + shards - 1 <= step
+        done = over & (c >= least)
+        return lang, n, bucket, words[~over].tobytes(), since[~over].tobytes(), c[~over].tobytes(), words[done].tobytes(), c[done].tobytes(), fresh.tolist()
+
+    def run(table: pa.Table) -> pa.Table:
+        n, bucket, lang = table["n"][0].as_py(), table["bucket"][0].as_py(), table["lang"].combine_chunks().dictionary_encode()
+        rows = [added(x, n, bucket, table.filter(pc.equal(lang.indices, k))) for k, x in enumerate(lang.dictionary.to_pylist())]
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _MERGED, strict=True)], schema=_MERGED)
+
+    return run
+
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per phrase; the words of a key have their highest byte first."""
+    for b in slices(batches, 1):
+        n, c = b["n"][0].as_py(), np.frombuffer(b["over_count"][0].as_buffer(), np.int64)
+        keys = np.frombuffer(b["over_words"][0].as_buffer(), np.uint64).astype(">u8").reshape(-1, n)
+        yield pa.RecordBatch.from_arrays([pa.repeat(b["lang"][0], len(c)), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(c)], ["lang", "key", "f"])
 
-def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = 100, longest: int = 5, shards: int = 4, slots: int = 2**22, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+
+def _spelt(tokens: DataFrame, scratch: Scratch, counts: DataFrame, salt: str) -> DataFrame:
+    """The frequent words by hash, ``(w, word, other)``: two words where a hash is not of one word alone."""
+    h = F.xxhash64(F.concat("word", F.lit(salt)))
+    key = F.unhex(F.lpad(F.hex(F.when(h == 0, F.lit(1).cast("long")).otherwise(h)), F.lit(16), F.lit("0")))
+    wanted = counts.filter(F.length("key") == 8).select(F.col("key").alias("w")).distinct()
+    given = tokens.select(F.explode("words").alias("word")).select(key.alias("w"), "word").join(wanted, "w", "left_semi").distinct()
+    return scratch.cut(given.groupBy("w").agg(F.min("word").alias("word"), F.max("word").alias("other")))
+
+
+def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = 100, longest: int = 5, shards: int = 3, slots: int = 2**22, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Phrases of up to ``longest`` words that occur ``least`` times or more in a language, with exact counts.
 
     Shards of the corpus are read one after the other, over and over. A word is counted from the
@@ -169,48 +217,82 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = 100, longes
     last and all but the first, have been counted ``least`` times; so phrases of every length are
     counted in the same steps. Each is counted for exactly one cycle, in every shard once.
 
-    Tasks learn what is active from a table of fixed size, ``slots`` bytes for each length below the
+    Tasks learn what is active from a table of fixed size, ``slots`` entries for each length below the
     longest: the step in which a phrase of that hash reached ``least``. A step once written stays. So
     phrases that share a slot may be counted too early or in vain, but never in part: the step in
     which a phrase starts is the same for all tasks, and counts are exact however full the table.
 
+    Counts travel as arrays, one for each language, length and range of hashes, so that a shuffle has
+    few rows; a task adds each of its counts up before it sends them, so frequent phrases are no load.
+
     Returns ``(lang, key, f)``, the key being the hashes of the words (8 bytes each), ``(w, word)``
     and ``(lang, n)``, the words of each language in all.
     """
-    spark = docs.sparkSession
-    tokens, words = _tokens(docs, scratch, shards, lang_col, text_col)
-    totals = tokens.groupBy("lang").agg(F.sum("n").alias("n"))
-    sieve = np.zeros((max(longest - 1, 1), slots), np.uint8 if 5 * shards < 255 else np.uint16)
+    with _small_batches(docs.sparkSession):
+        return _frequent(docs, scratch, least, longest, shards, slots, lang_col, text_col)
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows of hashed words are long: batches for tasks are bounded by bytes too."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "8388608")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _frequent(docs: DataFrame, scratch: Scratch, least: int, longest: int, shards: int, slots: int, lang_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
+    salt = ""
+    while True:
+        tokens = scratch.cut(rows.mapInArrow(_tokenised(shards, salt), "lang string, shard int, n long, tokens binary, words array<string>"))
+        counts, totals = _cycles(tokens, scratch, least, longest, shards, slots)
+        words = _spelt(tokens, scratch, counts, salt)
+        scratch.drop(tokens)
+        if words.filter("word <> other").isEmpty():
+            return counts, words.drop("other"), totals
+        scratch.drop(counts, totals, words)
+        salt += "'"  # two words have one hash: hash them all anew
+
+
+def _cycles(tokens: DataFrame, scratch: Scratch, least: int, longest: int, shards: int, slots: int) -> tuple[DataFrame, DataFrame]:
+    """The steps over the shards of hashed words: ``(lang, key, f)`` and ``(lang, n)``."""
+    spark = tokens.sparkSession
+    totals = scratch.cut(tokens.groupBy("lang").agg(F.sum("n").alias("n")))
+    held = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    buckets = min(2**31, 1 + held // (shards * BUCKET))
+    sieve = np.zeros((max(longest - 1, 1), slots), np.uint8 if longest * shards < 255 else np.uint16)
     state, done, step, last = None, [], 0, shards - 1
     while step <= last:
         sent = spark.sparkContext.broadcast(sieve)
-        found = tokens.filter(F.col("shard") == step % shards).select("lang", "tokens").mapInArrow(_counted(sent, step, shards, longest), "lang string, key binary, a int, slot int, c long").withColumn("old", F.lit(0).cast("long"))
+        found = tokens.filter(F.col("shard") == step % shards).select("lang", "tokens").mapInArrow(_counted(sent, step, shards, longest, buckets), _PART_DDL + ", old boolean")
         if state is not None:
-            going = state.filter(F.col("a") + shards > step)
-            found = found.unionByName(going.withColumn("old", F.col("c")))
-        summed = found.groupBy("lang", "key").agg(F.max("a").alias("a"), F.max("slot").alias("slot"), F.sum("c").alias("c"), F.sum("old").alias("old"))
-        over = F.col("a") + shards - 1 <= step
-        now = scratch.cut(summed.filter(~over | (F.col("c") >= least)))
+            found = found.unionByName(state.filter(F.length("words") > 0).select("lang", "n", "bucket", "words", "since", "count", F.lit(True).alias("old")))
+        now = scratch.cut(found.groupBy("n", "bucket").applyInArrow(_added(sent, step, shards, longest, least), _PART_DDL + ", over_words binary, over_count binary, fresh array<int>"))
         sent.destroy()
         if state is not None:
             scratch.drop(state)
-        n = F.length("key") / 8
-        fresh = now.filter((F.col("c") >= least) & (F.col("old") < least) & (n < longest)).select(n.cast("int").alias("n"), (F.col("slot") + 1).alias("s"))
         # a map of bits for each 32768 slots: of a fixed size in all
-        for r in fresh.groupBy("n", F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect():
+        fresh = now.select("n", F.explode("fresh").alias("s")).withColumn("s", F.col("s") + 1).groupBy("n", F.bitmap_bucket_number("s").alias("b"))
+        for r in fresh.agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect():
             at = np.flatnonzero(np.unpackbits(np.frombuffer(r["m"], np.uint8), bitorder="little")) + (r["b"] - 1) * 32768
-            row = sieve[r["n"] - 1]
-            row[at[row[at] == 0]] = step + 1
+            sieve[r["n"] - 1][at] = step + 1
             last = max(last, step + shards)
-        done.append(scratch.cut(now.filter(over).select("lang", "key", F.col("c").alias("f"))))
+        done.append(scratch.cut(now.filter(F.length("over_count") > 0).select("lang", "n", "over_words", "over_count").mapInArrow(_listed, "lang string, key binary, f long")))
         state, step = now, step + 1
+    scratch.drop(state)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out, words, totals
+    counts = scratch.cut(out)
+    scratch.drop(*done)
+    return counts, totals
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, shards: int = 4, slots: int = 2**22, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, shards: int = 3, slots: int = 2**22, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """The phrases of each language whose words stand together most unexpectedly.
 
     Texts (null: empty), A-Z lowered, are split at ``. , ; : ! ?`` and line ends into pieces, and
@@ -226,8 +308,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     is ranked in 64 groups first.
     """
     scratch = Scratch(docs.sparkSession)
-    found, words, totals = frequent_phrases(docs, scratch, least, longest, shards, slots, lang_col, text_col)
-    counts = scratch.cut(found)
+    counts, words, totals = frequent_phrases(docs, scratch, least, longest, shards, slots, lang_col, text_col)
     size = F.length("key") / 8
     long = counts.filter(size >= 2).select("lang", "key", F.col("f").alias("a"), size.cast("int").alias("m"))
 
