@@ -20,7 +20,7 @@ HELD, ROW = 1_000_000, 30_000
 #: Words whose hashes a task remembers.
 KNOWN = 150_000
 #: Words of a shard for each bucket of counts of two-word phrases; the other lengths, of which fewer are active, take eight times as many.
-BUCKET = 40_000
+BUCKET = 400_000
 #: A-Z lowered, tab as space, the ends of pieces as one mark: no UTF-8 text has that byte.
 _MARK = 0xFF
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else _MARK if c in b".,;:!?\n\v\f\r" else c for c in range(256))
@@ -166,7 +166,7 @@ def _counted(sieve, step: int, shards: int, longest: int, buckets: int):
 def _added(sieve, step: int, shards: int, longest: int, least: int):
     """One bucket's counts so far: those that go on, those whose cycle is over, and slots of phrases that have just reached ``least``."""
 
-    def added(lang: str, n: int, bucket: int, table: pa.Table) -> tuple:
+    def added(lang: str, n: int, bucket: int, table: pa.Table) -> list[tuple]:
         joined = lambda x, kind: np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in table[x]])
         words, since, c = joined("words", np.uint64).reshape(-1, n), joined("since", np.uint16), joined("count", np.int64)
         old = c * np.repeat(np.array(table["old"].to_pylist()), [len(v.as_buffer()) // 8 for v in table["count"]])
@@ -182,11 +182,16 @@ def _added(sieve, step: int, shards: int, longest: int, least: int):
             fresh = np.unique(slot[(c >= least) & (old < least) & (sieve.value[n - 1][slot] == 0)])
         over = since.astype(np.int64) + shards - 1 <= step
         done = over & (c >= least)
-        return lang, n, bucket, words[~over].tobytes(), since[~over].tobytes(), c[~over].tobytes(), words[done].tobytes(), c[done].tobytes(), fresh.tolist()
+        out = [(lang, n, bucket, b"", b"", b"", words[done].tobytes(), c[done].tobytes(), fresh.tolist())]
+        words, since, c = words[~over], since[~over], c[~over]
+        for i in range(0, len(c), ROW):
+            j = slice(i, i + ROW)
+            out.append((lang, n, bucket, words[j].tobytes(), since[j].tobytes(), c[j].tobytes(), b"", b"", []))
+        return out
 
     def run(table: pa.Table) -> pa.Table:
         n, bucket, lang = table["n"][0].as_py(), table["bucket"][0].as_py(), table["lang"].combine_chunks().dictionary_encode()
-        rows = [added(x, n, bucket, table.filter(pc.equal(lang.indices, k))) for k, x in enumerate(lang.dictionary.to_pylist())]
+        rows = [r for k, x in enumerate(lang.dictionary.to_pylist()) for r in added(x, n, bucket, table.filter(pc.equal(lang.indices, k)))]
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _MERGED, strict=True)], schema=_MERGED)
 
     return run
@@ -228,20 +233,22 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = 100, longes
     Returns ``(lang, key, f)``, the key being the hashes of the words (8 bytes each), ``(w, word)``
     and ``(lang, n)``, the words of each language in all.
     """
-    with _small_batches(docs.sparkSession):
+    with _settings(docs.sparkSession):
         return _frequent(docs, scratch, least, longest, shards, slots, lang_col, text_col)
 
 
 @contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Rows of hashed words are long: batches for tasks are bounded by bytes too."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "8388608")
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """Rows of hashed words are long: batches for tasks are bounded by bytes too, and tables packed tighter."""
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": "8388608", "spark.sql.parquet.compression.codec": "zstd"}
+    before = {n: spark.conf.get(n, None) for n in wanted}
+    for n, v in wanted.items():
+        spark.conf.set(n, v)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
 def _frequent(docs: DataFrame, scratch: Scratch, least: int, longest: int, shards: int, slots: int, lang_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
