@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,10 @@ _MARK = "\x01"
 def _lines(spark: SparkSession, path: str, tolerant: bool) -> DataFrame:
     reader = spark.read.option("ignoreCorruptFiles", tolerant).option("ignoreMissingFiles", tolerant)
     one = not any(c in path for c in "*?[") and not is_folder(spark, path)
-    lines = reader.text(path) if one else reader.option("pathGlobFilter", "*.log").text(path)
+    return _placed(reader.text(path) if one else reader.option("pathGlobFilter", "*.log").text(path))
+
+
+def _placed(lines: DataFrame) -> DataFrame:
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     return lines.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), place.alias("pos"), "value")
 
@@ -36,6 +41,12 @@ def scan_logs(spark: SparkSession, path: str, tolerant: bool = False) -> DataFra
     return _lines(spark, path, tolerant)
 
 
+def scan_files(spark: SparkSession, paths: list[str], tolerant: bool = False) -> DataFrame:
+    """Lines of the named files and of no others; columns of :func:`scan_logs`."""
+    reader = spark.read.option("ignoreCorruptFiles", tolerant).option("ignoreMissingFiles", tolerant)
+    return _placed(reader.text(paths))
+
+
 def list_logs(spark: SparkSession, path: str) -> DataFrame:
     """``file, path, size, mtime`` (milliseconds) of the log files of a folder, empty ones included."""
     return spark.createDataFrame(stat_files(spark, path, "*.log"), "file string, path string, size long, mtime long")
@@ -78,8 +89,8 @@ def assemble(lines: DataFrame) -> DataFrame:
     return whole.unionByName(joined.select("file", F.col("p")[0]["pos"].alias("pos"), F.array_join(F.transform("p", lambda x: x["value"]), "\n").alias("value")))
 
 
-def parse_sqllog(lines: DataFrame) -> DataFrame:
-    """Records of ``lines(file, pos, value)``: the log fields, typed, and ``parse_ok``.
+def parse_sqllog(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Records of ``lines(file, pos, value)``: the log fields, typed, ``parse_ok``, and the columns of lines named in ``keep``.
 
     One pass of the pattern lays the groups out in a fixed order, the statement last, and a split
     takes them apart; a line that does not match has a single part, ``parse_ok`` false and null
@@ -102,7 +113,7 @@ def parse_sqllog(lines: DataFrame) -> DataFrame:
         part(6).alias("trx_id"), part(7).alias("statement"), part(8).alias("appname"), part(9).alias("client_ip"),
         F.nullif(part(10), F.lit("")).alias("tag"), part(14).alias("sql"),
         number(11, "float").cast("double").alias("exec_time_ms"), number(12, "long").alias("row_count"), number(13, "long").alias("exec_id"),
-        "parse_ok",
+        "parse_ok", *keep,
     )
 
 

@@ -35,3 +35,19 @@ def stat_files(spark: SparkSession, folder: str, pattern: str = "*") -> list[tup
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
     return sorted(((f.getPath().getName(), f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found or []), key=lambda f: f[1])
+
+
+def move_new(spark: SparkSession, old: str, new: str) -> bool:
+    """Rename a file or folder in one step; false, with nothing done, where the new name is taken."""
+    jvm = spark._jvm
+    path, conf = jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    store = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(new).toUri(), conf)
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        store.rename(path(old), path(new), none)
+    except Exception as e:
+        if "FileAlreadyExists" in str(e) or store.util().exists(path(new)):
+            path(old).getFileSystem(conf).delete(path(old), True)
+            return False
+        raise
+    return True
