@@ -210,7 +210,7 @@ def _spelt(tokens: DataFrame, scratch: Scratch, counts: DataFrame, salt: str) ->
     h = F.xxhash64(F.concat("word", F.lit(salt)))
     key = F.unhex(F.lpad(F.hex(F.when(h == 0, F.lit(1).cast("long")).otherwise(h)), F.lit(16), F.lit("0")))
     wanted = counts.filter(F.length("key") == 8).select(F.col("key").alias("w")).distinct()
-    given = tokens.select(F.explode("words").alias("word")).select(key.alias("w"), "word").join(wanted, "w", "left_semi").distinct()
+    given = tokens.select(F.explode("words").alias("word")).select(key.alias("w"), "word").distinct().join(wanted, "w", "left_semi")
     return scratch.cut(given.groupBy("w").agg(F.min("word").alias("word"), F.max("word").alias("other")))
 
 
