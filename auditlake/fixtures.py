@@ -5,11 +5,14 @@ No input table is a log, so the queries render one, parse it again and work on w
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.sources.logs import parse_sqllog
-from auditlake.storage import rename, shared_folder, stat_files
+from auditlake.storage import remove, rename, shared_folder, stat_files
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,12 +55,15 @@ def records(spark: SparkSession, sf_dir: str, bad: bool = False) -> DataFrame:
     return parsed if bad else parsed.filter("parse_ok")
 
 
-def write_log_files(spark: SparkSession, sf_dir: str) -> str:
-    """Write the lines as one text file for each log file; returns the folder."""
-    folder = shared_folder(spark, "logs")
-    lines = log_lines(spark, sf_dir).repartition("file").sortWithinPartitions("file", "pos")
-    lines.select("value", "file").write.partitionBy("file").text(f"{folder}/by")
-    rename(spark, [(p, f"{folder}/{p.split('file=')[1].split('/')[0]}") for _, p, _, _ in stat_files(spark, f"{folder}/by", "file=*/part-*")])
+def write_log_files(spark: SparkSession, sf_dir: str, shaped: Callable[[DataFrame], DataFrame] = lambda lines: lines, folder: str | None = None) -> str:
+    """Write the lines, ``shaped`` as a test needs them, as one text file for each log file; returns the folder."""
+    folder = folder or shared_folder(spark, "logs")
+    lines = shaped(log_lines(spark, sf_dir)).repartition("file").sortWithinPartitions("file", "pos")
+    by = f"{folder}/by-{uuid.uuid4().hex}"
+    lines.select("value", "file").write.partitionBy("file").text(by)
+    moves = [(p, f"{folder}/{p.split('file=')[1].split('/')[0]}") for _, p, _, _ in stat_files(spark, by, "file=*/part-*")]
+    remove(spark, [new for _, new in moves])
+    rename(spark, moves)
     return folder
 
 

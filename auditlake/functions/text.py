@@ -69,22 +69,27 @@ def params(body: Column) -> Column:
     return F.when(body.rlike(_LIST), F.transform(values, lambda v: F.when(v == "", "NULL").otherwise(v)))
 
 
+def _number(digits: Column) -> Column:
+    """An ordinal; one beyond 64 bits counts as the largest number."""
+    return F.coalesce(digits.try_cast("long"), F.lit(2**63 - 1))
+
+
 def placeholders(sql: Column) -> Column:
     """``struct(n, ordinal)``: how many values a statement takes, and whether it names them ``:N``.
 
     Text inside literals does not count. The highest ``:N`` counts if there is any, else the ``?``.
     """
     bare = F.regexp_replace(sql, LITERAL, "")
-    named = F.transform(F.regexp_extract_all(bare, F.lit(r"(?<!:):(\d{1,9})"), F.lit(1)), lambda x: x.cast("int"))
-    top = F.coalesce(F.array_max(named), F.lit(0))
-    return F.struct(F.when(top > 0, top).otherwise(F.regexp_count(bare, F.lit(r"\?"))).alias("n"), (top > 0).alias("ordinal"))
+    named = F.transform(F.regexp_extract_all(bare, F.lit(r":(\d++)"), F.lit(1)), _number)
+    top = F.coalesce(F.array_max(named), F.lit(0).cast("long"))
+    return F.struct(F.when(top > 0, top).otherwise(F.regexp_count(bare, F.lit(r"\?")).cast("long")).alias("n"), (top > 0).alias("ordinal"))
 
 
 def bind(sql: Column, values: Column, ordinal: Column) -> Column:
     """The statement with its placeholders replaced, in sequence or by number; unmatched ones stay."""
-    tokens = F.regexp_extract_all(sql, F.lit(rf"{LITERAL}|::|:\d{{1,9}}|\?|[^':?]++|(?s:.)"), F.lit(0))
+    tokens = F.regexp_extract_all(sql, F.lit(rf"{LITERAL}|:\d++|\?|[^':?]++|(?s:.)"), F.lit(0))
     numbered = F.array_join(
-        F.transform(tokens, lambda t: F.when(t.rlike(r"\A:\d+\z"), F.coalesce(F.try_element_at(values, F.greatest(F.lit(1), F.substring(t, 2, 9).cast("int"))), t)).otherwise(t)), ""
+        F.transform(tokens, lambda t: F.when(t.rlike(r"\A:\d+\z"), F.coalesce(F.try_element_at(values, F.greatest(F.lit(1), F.least(F.lit(2**31 - 1), _number(F.regexp_extract(t, r"\d+", 0)))).cast("int")), t)).otherwise(t)), ""
     )
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import fingerprint, snippet
+from auditlake.operators.shaping import with_rank
 
 #: Grouping fields by the name they are asked for.
 GROUPS = {"user": "username", "app": "appname", "ip": "client_ip"}
@@ -29,10 +30,13 @@ def totals(records: DataFrame, listing: DataFrame | None = None, skipped: DataFr
     ``skipped`` has a row per file that was left out as done before. With ``listing(file, size)`` of
     the files to be read, one that holds something but gave no line was unreadable: an error each.
     """
-    out = records.agg(F.count_distinct("file").alias("files"), F.count_if("parse_ok").alias("records"), F.count_if(~F.col("parse_ok")).alias("errors"))
-    if listing is not None:
-        lost = listing.filter("size > 0").select("file").distinct().join(records.select("file").distinct(), "file", "left_anti")
-        out = out.join(F.broadcast(lost.agg(F.count("*").alias("_lost")))).withColumn("errors", F.col("errors") + F.col("_lost")).drop("_lost")
+    by = records.groupBy("file").agg(F.count_if("parse_ok").alias("good"), F.count_if(~F.col("parse_ok")).alias("bad"))
+    lost = F.lit(False)
+    if listing is not None:  # one read of the log: files without a line come in by the join
+        by = by.join(listing.filter("size > 0").select("file", F.lit(True).alias("listed")).distinct(), "file", "full")
+        lost = F.col("listed") & F.col("good").isNull()
+    count = lambda x: F.coalesce(F.sum(x), F.lit(0).cast("long"))
+    out = by.agg(F.count_if(F.col("good").isNotNull()).alias("files"), count("good").alias("records"), (count("bad") + F.count_if(lost)).alias("errors"))
     if skipped is None:
         return out.withColumn("skipped", F.lit(0).cast("long"))
     return out.join(F.broadcast(skipped.agg(F.count("*").alias("skipped"))))
@@ -94,7 +98,8 @@ def digest(records: DataFrame, min_count: int = 1) -> DataFrame:
 
 
 def top_digest(digested: DataFrame, by: str = "count", n: int | None = None) -> DataFrame:
-    """Digest rows ranked by ``count`` or ``exec`` (total time), the first ``n``."""
+    """Digest rows ranked by ``count`` or ``exec`` (total time), the first ``n``; all of them are ranked range by range."""
     order = [F.desc({"count": "count", "exec": "total_ms"}[by]), F.asc("fingerprint")]
-    top = digested.orderBy(*order).limit(n) if n else digested
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    if not n:
+        return with_rank(digested, *order)
+    return digested.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))

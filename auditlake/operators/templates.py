@@ -80,9 +80,12 @@ def user_counts(records: DataFrame) -> DataFrame:
 
 
 def user_share(counts: DataFrame, n: int = 5) -> DataFrame:
-    """The first ``n`` users and ``Others``, with their share in percent: ``slice, count, share``."""
+    """The first ``n`` users and ``Others``, with their share in percent: ``slice, count, share, rest``.
+
+    ``rest`` is true for the slice of all others, as a user may be called ``Others`` too.
+    """
     top = counts.orderBy(F.desc("count"), "username").limit(n)
     whole = counts.agg(F.sum("count").alias("_all"))  # one row
-    others = top.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("_top")).join(whole).select(F.lit("Others").alias("slice"), (F.col("_all") - F.col("_top")).alias("count"))
-    sliced = top.select(F.col("username").alias("slice"), "count").unionByName(others).groupBy("slice").agg(F.sum("count").alias("count")).filter(F.col("count") > 0)
+    others = top.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("_top")).join(whole).select(F.lit("Others").alias("slice"), (F.col("_all") - F.col("_top")).alias("count"), F.lit(True).alias("rest"))
+    sliced = top.select(F.col("username").alias("slice"), "count", F.lit(False).alias("rest")).unionByName(others).filter(F.col("count") > 0)
     return sliced.join(F.broadcast(whole)).withColumn("share", 100 * F.col("count") / F.col("_all")).drop("_all")

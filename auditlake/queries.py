@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from auditlake.fixtures import W_SQL, log_lines, records, write_log_files
 from auditlake.functions import text as X
-from auditlake.operators import binding, filters, shaping, stats, templates
-from auditlake.plans.jobs import digest_job, export_counts, export_job
-from auditlake.sources import logs, sinks
-from auditlake.storage import shared_folder
+from auditlake.operators import binding, filters, partials, shaping, stats, templates
+from auditlake.operators.partials import PARTS
+from auditlake.plans.jobs import digest_job, export_counts, export_job, export_new
+from auditlake.sources import blocks, logs, sinks
+from auditlake.sources.manifest import Incremental
+from auditlake.storage import remove, shared_folder
 from auditlake.streaming import logs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +57,71 @@ def parse_errors(spark, d):
     return records(spark, d, bad=True).groupBy("file").agg(F.count_if("parse_ok").alias("good"), F.count_if(~F.col("parse_ok")).alias("bad"))
 
 
+def _broken(lines):
+    """Statements over several lines, and now and then a long one."""
+    long = F.when(F.col("pos") % 14 == 1, F.concat(F.lit("VALUES\n"), F.expr("repeat(' \n', 400)"))).otherwise(F.lit("VALUES\n"))
+    return lines.withColumn("value", F.replace(F.replace("value", F.lit(" WHERE "), F.lit("\nWHERE\n")), F.lit("VALUES "), long))
+
+
+@_query("SELECT file, ts, tag, trx_id, exec_id, replace(replace(sql, ' WHERE ', chr(10) || 'WHERE' || chr(10)), 'VALUES ', 'VALUES' || chr(10) || CASE WHEN pos % 14 = 1 THEN repeat(' ' || chr(10), 400) ELSE '' END) AS sql FROM r")
+def scan_multiline(spark, d):
+    # blocks of 128 KB: each file is read by several tasks, with records over the ends
+    lines = blocks.read_records(spark, write_log_files(spark, d, _broken), 1 << 17)
+    return logs.parse_sqllog(lines).select("file", "ts", "tag", "trx_id", "exec_id", "sql")
+
+
+@_query("SELECT file, ts, exec_id, replace(username, 'USER', '用户') AS username, replace(sql, 'orders', '订单€') AS sql FROM r")
+def scan_gb18030_records(spark, d):
+    def foreign(lines):
+        text = F.replace(F.replace("value", F.lit("user:USER"), F.lit("user:用户")), F.lit("orders"), F.lit("订单€"))
+        return lines.withColumn("value", F.encode(text, "GB18030").cast("string"))
+
+    name = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")  # Spark encodes by this name only with its older rules
+    try:
+        lines = logs.decode_gb18030(spark, write_log_files(spark, d, foreign))
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return logs.parse_sqllog(lines).select("file", "ts", "exec_id", "username", "sql")
+
+
+def _changed(spark, d):
+    """A folder whose files were read once, then changed: even years came, 1995 got another text, 1997 went."""
+    folder = write_log_files(spark, d, lambda lines: lines.filter("substring(file, 8, 4) % 2 = 1"))
+    kept = Incremental(spark, folder, shared_folder(spark, "kept"), PARTS)
+    kept.update()
+    other = F.when(F.col("file") == "orders_1995.log", F.replace("value", F.lit("INSERT INTO orders"), F.lit("INSERT INTO old"))).otherwise(F.col("value"))
+    write_log_files(spark, d, lambda lines: lines.filter("substring(file, 8, 4) % 2 = 0 OR file = 'orders_1995.log'").withColumn("value", other), folder)
+    remove(spark, [f"{folder}/orders_1997.log"])
+    kept.update()
+    return kept
+
+
+_THEN = ", x AS (SELECT * REPLACE (CASE WHEN file = 'orders_1995.log' THEN replace(fp, 'INSERT INTO orders', 'INSERT INTO old') ELSE fp END AS fp) FROM r WHERE file <> 'orders_1997.log') "
+
+
+@_query(_THEN + "SELECT fp AS fingerprint, count(*)::BIGINT AS count, round(sum(coalesce(exec_time_ms, 0)), 4) AS total_ms, max(coalesce(exec_time_ms, 0)) AS max_ms, arg_min(ts, file || printf('%020d', pos)) AS first_seen FROM x GROUP BY fp")
+def incremental_digest(spark, d):
+    return partials.digest_of(_changed(spark, d).read("digest")).select("fingerprint", "count", *_r4("total_ms"), "max_ms", "first_seen")
+
+
+@_query(_THEN + "SELECT substr(ts, 1, 13) AS bucket, count(*)::BIGINT AS count, round(sum(coalesce(exec_time_ms, 0)), 4) AS total_ms, max(coalesce(exec_time_ms, 0)) AS max_ms FROM x GROUP BY 1")
+def incremental_buckets(spark, d):
+    return partials.buckets_of(_changed(spark, d).read("minute")).select("bucket", "count", *_r4("total_ms"), "max_ms")
+
+
+@_query("SELECT file, ts, trx_id, sql FROM r WHERE file NOT IN ('orders_1995.log', 'orders_1997.log') AND ts >= '1998-03' AND (ts <= '1999-06' OR starts_with(ts, '1999-06')) AND trx_id::INT % 9 = 0 AND trx_id::INT < 3600")
+def skip_files(spark, d):
+    found = _changed(spark, d).records("1998-03", "1999-06", [str(i) for i in range(0, 3600, 9)])
+    return found.filter("parse_ok").select("file", "ts", "trx_id", "sql")
+
+
+@_query("SELECT row_number() OVER (ORDER BY file, pos)::BIGINT AS rank, file, pos, sql FROM r")
+def ordered_rows(spark, d):
+    return shaping.with_rank(records(spark, d).select("file", "pos", "sql"), "file", "pos")
+
+
 def _listing(spark, d):
     lines = log_lines(spark, d)
     return lines.groupBy("file").agg(F.sum(F.length("value") + 1).alias("size"), F.count("*").alias("mtime")).select("file", F.concat(F.lit("/logs/"), "file").alias("path"), "size", "mtime")
@@ -201,6 +268,21 @@ def bind_params_forced(spark, d):
     return binding.bind_params(records(spark, d), "ordinal").select("file", "pos", "tag", "normalized_sql")
 
 
+# all records as one session of one file, and slices of 200 places: most slices take what another one left
+_ONE = """, b AS (
+  SELECT pos, tag, k, lead_k, pr FROM (
+    SELECT r.*, last_value(CASE WHEN r.tag IS NULL THEN r.k END IGNORE NULLS) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lead_k
+    FROM r WHERE tag IS NOT NULL OR k % 900 = 0) x LEFT JOIN (SELECT o_orderkey AS ok, o_orderpriority AS pr FROM orders) ON ok = lead_k
+)
+"""
+
+
+@_query(_ONE + "SELECT pos, tag, CASE WHEN tag IS NOT NULL AND k % 3 = 0 AND lead_k IS NOT NULL THEN 'INSERT INTO orders VALUES (' || lead_k || ', ''' || pr || ''')' END AS normalized_sql FROM b")
+def bind_one_session(spark, d):
+    one = records(spark, d).filter("tag IS NOT NULL OR pos % 1800 = 0").withColumns({c: F.lit("x") for c in ("file", "sess_id", "statement")})
+    return binding.bind_params(one, width=200).select("pos", "tag", "normalized_sql")
+
+
 @_query("SELECT p.file, p.pos, '[' || k || ', ''' || o_orderpriority || ''']' AS values FROM p JOIN orders ON o_orderkey = k")
 def parse_params(spark, d):
     p = records(spark, d).filter(F.col("tag").isNull())
@@ -371,7 +453,7 @@ def user_counts(spark, d):
 
 @_query("SELECT slice, sum(count)::BIGINT AS count, round(100 * sum(count) / sum(sum(count)) OVER (), 4) AS share FROM (SELECT CASE WHEN row_number() OVER (ORDER BY count(*) DESC, username) <= 4 THEN username ELSE 'Others' END AS slice, count(*) AS count FROM w WHERE username <> '' GROUP BY username) GROUP BY slice")
 def user_share(spark, d):
-    return templates.user_share(templates.user_counts(records(spark, d)), 4).withColumn("share", F.round("share", 4))
+    return templates.user_share(templates.user_counts(records(spark, d)), 4).withColumn("share", F.round("share", 4)).drop("rest")
 
 
 # ---- text
@@ -483,6 +565,47 @@ def json_report(spark, d):
     return spark.read.schema(rows.schema).json(path)
 
 
+@_query("SELECT file, pos, replace(sql, '''', '\"') AS sql FROM r")
+def csv_quotes(spark, d):
+    rows, path = records(spark, d).select("file", "pos", F.translate("sql", "'", '"').alias("sql")), shared_folder(spark, "csv")
+    sinks.write_csv(rows, path)
+    return sinks.read_csv(spark, path, rows.schema)
+
+
+@_query(f"SELECT template AS template_key, count(*)::BIGINT AS count, min(us) AS min_us, max(us) AS max_us, quantile_disc(us, 0.5) AS p50_us, min(ts) AS first_seen FROM (SELECT *, {_US} AS us FROM w) GROUP BY template")
+def template_csv(spark, d):
+    stats_, path = template_stats(spark, d), shared_folder(spark, "export")
+    sinks.write_templates(stats_, csv_path=f"{path}.csv")
+    return sinks.read_csv(spark, f"{path}_templates.csv", stats_.schema).select("template_key", "count", "min_us", "max_us", "p50_us", "first_seen")
+
+
+@_query("SELECT count(*)::BIGINT AS exported FROM r WHERE regexp_matches(username, 'USER[12]') AND NOT regexp_matches(appname, 'App3') AND (tag IS NULL OR regexp_matches(sql, 'orders') AND NOT regexp_matches(sql, 'URGENT'))")
+def dry_run(spark, d):
+    rows = export_job(records(spark, d), patterns={"username": ["USER[12]"]}, unwanted={"appname": ["App3"]}, sql_patterns=(["orders"], ["URGENT"]), bind=False)
+    return spark.createDataFrame([(sinks.dry_run(rows)["exported"],)], "exported long")
+
+
+@_query("SELECT trx_id, count(*)::BIGINT AS n FROM r GROUP BY 1")
+def own_sink(spark, d):
+    name = f"own_{uuid.uuid4().hex}"
+    sinks.export(records(spark, d), sink=lambda rows: rows.groupBy("trx_id").agg(F.count("*").alias("n")).write.saveAsTable(name))
+    return spark.table(name)
+
+
+@_query("SELECT file, count(*)::BIGINT AS n, count(exec_id)::BIGINT AS ids FROM r GROUP BY file")
+def export_new_files(spark, d):
+    """Three runs over a growing folder append what is new; each row is exported once."""
+    folder, path = shared_folder(spark, "logs"), shared_folder(spark, "csv")
+    kept = Incremental(spark, folder, shared_folder(spark, "kept"), {})
+    for part in (0, 1, 1):
+        if kept.manifest.version() <= part:
+            write_log_files(spark, d, lambda lines, part=part: lines.filter(F.col("file").substr(8, 4).cast("int") % 2 == part), folder)
+        export_new(kept, lambda rows: sinks.write_csv(rows, path, append=True), bind=False)
+    rows = sinks.read_csv(spark, path, export_job(records(spark, d), bind=False).schema)
+    named = F.concat(F.lit("orders_"), F.substring(F.col("ts"), 1, 4), F.lit(".log"))
+    return rows.groupBy(named.alias("file")).agg(F.count("*").alias("n"), F.count("exec_id").alias("ids"))
+
+
 # ---- streams
 
 

@@ -23,6 +23,13 @@ def rename(spark: SparkSession, moves: list[tuple[str, str]]) -> None:
         path(old).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(old), path(new))
 
 
+def remove(spark: SparkSession, names: list[str]) -> None:
+    """Delete files that are there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for name in names:
+        path(name).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(name), False)
+
+
 def is_folder(spark: SparkSession, name: str) -> bool:
     """Whether there is a folder of that name."""
     path = spark._jvm.org.apache.hadoop.fs.Path(name)

@@ -72,6 +72,20 @@ def test_nothing_is_committed_when_a_job_dies(spark, tmp_path):
     assert kept.update()["read"] == 1 and kept.update()["read"] == 0 and partials.digest_of(kept.read("digest")).first()["count"] == 1
 
 
+def test_jobs_read_and_commit_the_manifest(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    write(logs, "a.log", [line(s=1), line(s=2)], 1)
+    kept, out = Incremental(spark, str(logs), str(tmp_path / "kept"), partials.PARTS), []
+    export = lambda: jobs.export_new(kept, lambda rows: out.append(rows.count()), fields=["ts", "sql"])["read"]
+    assert (export(), export()) == (1, 0)
+    write(logs, "b.log", [line(s=3)], 2)
+    assert export() == 1 and out == [2, 1]
+    assert [(r["count"], r["rank"]) for r in jobs.digest_kept(kept).collect()] == [(3, 1)]
+    got = jobs.stats_kept(kept)
+    assert sum(r["records"] for r in got["files"].collect()) == 3 and [b["count"] for b in got["buckets"].collect()] == [3]
+
+
 def test_two_writers(spark, tmp_path):
     store = Manifest(spark, str(tmp_path))
     row = lambda p: spark.createDataFrame([(p, 1, 1, 1, None, "b")], SCHEMA)
