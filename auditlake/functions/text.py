@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -24,33 +25,77 @@ def fingerprint(sql: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[ \t\n\r\f]+", " "))
 
 
-def _nested(depth: int) -> str:
-    """What stands between the brackets of a list without a sub-query, brackets nested up to ``depth`` levels."""
-    word = r"(?!(?i:SELECT|FROM)(?![A-Za-z0-9_.]))[A-Za-z0-9_.]++"
-    return f"(?:{word}|[^'()A-Za-z0-9_.]|{LITERAL}" + (rf"|\({_nested(depth - 1)}\)" if depth else "") + ")*+"
+#: What begins a list after IN, what makes a sub-query, and comments of blocks.
+_OPENS = r"(?i:IN)[ \t\n\r\f]*+\("
+_QUERY = r"(?i:SELECT|FROM)(?![A-Za-z0-9_.])"
+_COMMENT = r"/\*(?s:.*?)(?:\*/|\z)"
+#: Those and brackets one by one, and all else, literals and comments included, in runs as long as they go.
+_PIECES = rf"{_OPENS}|{_QUERY}|[()]|(?:{LITERAL}|{_COMMENT}|(?!{_OPENS}|{_QUERY})[A-Za-z0-9_.]++|[^'()/A-Za-z0-9_.]|/(?!\*))++"
+_TOKENS = rf"{LITERAL}|(?:[ \t\n\r\f]|{_COMMENT})++|[A-Za-z0-9_.]++|(?s:.)"
+#: Stands for a folded list; no text has this character.
+_FOLDED = "\ufdd0"
 
 
-#: A list after IN that holds no sub-query.
-IN_LIST = rf"(?i:(?<![A-Za-z0-9_.])IN)[ \t\n\r\f]*+\({_nested(12)}\)"
-_TOKENS = rf"{LITERAL}|(?:[ \t\n\r\f]|/\*(?s:.*?)(?:\*/|\z))++|{IN_LIST}|[A-Za-z0-9_.]++|(?s:.)"
+def _lists(pieces: Column) -> Column:
+    """First and last piece of each list after IN that holds no sub-query; none lies in another.
+
+    One pass: a counter has the depth, a stack the lists that are open. A sub-query empties the
+    stack, since every list around it stays as it is.
+    """
+    spans, marks = "array<struct<a: int, b: int>>", "array<struct<at: int, depth: int>>"
+    begin = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.array().cast(marks).alias("open"), F.array().cast(spans).alias("lists"))
+
+    def step(s: Column, piece: Column) -> Column:
+        i, depth, last = s["i"] + 1, s["depth"], F.try_element_at(s["open"], F.lit(-1))
+        listed, closes = piece.rlike(rf"\A{_OPENS}\z"), (piece == ")") & (depth > 0)
+        ends = closes & (F.coalesce(last["depth"], F.lit(0)) == depth)
+        deeper = F.when(listed | (piece == "("), 1).when(closes, -1).otherwise(0)
+        pushed = F.array_append(s["open"], F.struct(i.alias("at"), (depth + 1).alias("depth")))
+        open_ = F.when(listed, pushed).when(ends, F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)).when(piece.rlike(rf"\A{_QUERY}\z"), F.array().cast(marks)).otherwise(s["open"])
+        before = F.coalesce(F.try_element_at(s["lists"], F.lit(-1))["a"] < last["at"], F.lit(True))  # no list within this one
+        outer = F.when(before, s["lists"]).otherwise(F.filter(s["lists"], lambda x: x["a"] < last["at"]))
+        lists = F.when(ends, F.array_append(outer, F.struct(last["at"].alias("a"), i.alias("b")))).otherwise(s["lists"])
+        return F.struct(i.alias("i"), (depth + deeper).alias("depth"), open_.alias("open"), lists.alias("lists"))
+
+    return F.aggregate(pieces, begin, step, lambda s: s["lists"])
+
+
+def _given(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _fold(sql: Column) -> Column:
+    """The statement with a mark in place of each list after IN that holds no sub-query."""
+
+    def joined(pieces: Column, lists: Column) -> Column:
+        def between(k: Column) -> Column:
+            start = F.when(k == 0, F.lit(1)).otherwise(F.try_element_at(lists, k)["b"] + 1)
+            stop = F.coalesce(F.try_element_at(lists, k + 1)["a"], F.size(pieces) + 1)
+            return F.array_join(F.slice(pieces, start, stop - start), "")
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(lists)), between), _FOLDED)
+
+    pieces = F.regexp_extract_all(F.replace(sql, F.lit(_FOLDED), F.lit("\ufffd")), F.lit(_PIECES), F.lit(0))
+    folded = _given(pieces, lambda p: _given(_lists(p), lambda x: joined(p, x)))
+    return F.when(sql.rlike(rf"(?<![A-Za-z0-9_.]){_OPENS}"), folded).otherwise(sql)
 
 
 def template(sql: Column) -> Column:
     """The shape of a statement with its literals: comments go, keywords in capitals, IN lists folded.
 
     Line comments go with their line end; block comments and blanks become one space; a list after
-    IN becomes ``IN (?)`` unless it holds a sub-query (lists nested deeper than twelve levels stay
-    as they are). Literals elsewhere stay as they are.
+    IN becomes ``IN (?)`` unless it holds a sub-query, however deep its brackets are nested; brackets
+    in literals and comments do not count. Literals elsewhere stay as they are.
     """
     bare = F.regexp_replace(sql, rf"({LITERAL}|/\*(?s:.*?)(?:\*/|\z))|--[^\n]*(?:\n|\z)", "$1")
-    tokens = F.regexp_extract_all(bare, F.lit(_TOKENS), F.lit(0))
+    tokens = F.regexp_extract_all(_fold(bare), F.lit(_TOKENS), F.lit(0))
 
     def shaped(t: Column) -> Column:
         first = F.substring(t, 1, 1)
         blank = first.isin(" ", "\t", "\n", "\r", "\f") | t.startswith("/*")
-        listed = (F.length(t) > 2) & t.endswith(")")
         word = F.upper(t)
-        return F.when(blank, " ").when(first == "'", t).when(listed, "IN (?)").when(word.isin(*KEYWORDS), word).otherwise(t)
+        return F.when(blank, " ").when(first == "'", t).when(t == _FOLDED, "IN (?)").when(word.isin(*KEYWORDS), word).otherwise(t)
 
     return F.trim(F.array_join(F.transform(tokens, shaped), ""))
 

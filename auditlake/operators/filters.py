@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
@@ -9,14 +10,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import any_of
+from auditlake.functions.words import FEW, contains_any
 from auditlake.schema import META_FIELDS
 
 #: Exact sets longer than this are joined instead of listed.
 LISTED = 1000
+#: A pattern without signs that mean something: it is found where its text is.
+_PLAIN = re.compile(r"[^\\^$.|?*+()\[\]{}]+")
 
 
 def _search(name: str, patterns: Iterable[str]) -> Column:
-    return any_of([F.col(name).rlike("(?U)" + p) for p in patterns])
+    """Any pattern is found; where there are many, those that are plain text are looked for at once."""
+    patterns = [*patterns]
+    plain = [p for p in patterns if _PLAIN.fullmatch(p)]
+    if len(plain) <= FEW:
+        plain = []
+    found = any_of([F.col(name).rlike("(?U)" + p) for p in patterns if not plain or not _PLAIN.fullmatch(p)])
+    return found | contains_any(F.col(name), plain) if plain else found
 
 
 def time_range(start: str | None = None, end: str | None = None) -> Column:
@@ -63,7 +73,7 @@ def record_sql(wanted: Iterable[str] = (), unwanted: Iterable[str] = ()) -> Colu
 
 def stats_any(words: Mapping[str, Iterable[str]], trx_ids: Iterable[str] = (), start: str | None = None, end: str | None = None) -> Column:
     """The filter of statistics: a time range, and any plain text of any field or an exact transaction id."""
-    tests = [F.col(f).contains(w) for f, ws in words.items() for w in ws]
+    tests = [contains_any(F.col(f), ws) for f, ws in ((f, [*ws]) for f, ws in words.items()) if ws]
     if ids := [*trx_ids]:
         tests.append(trx_in(ids))
     return time_range(start, end) & (any_of(tests) if tests else F.lit(True))
@@ -84,8 +94,8 @@ def indicators(exec_ids: Iterable[int] = (), min_ms: float | None = None, min_ro
 def txn_sql(wanted: Iterable[str] = (), unwanted: Iterable[str] = ()) -> Column:
     """Plain texts in the statement: any wanted one and no unwanted one."""
     wanted = [*wanted]
-    found = any_of([F.col("sql").contains(w) for w in wanted]) if wanted else F.lit(True)
-    return found & ~any_of([F.col("sql").contains(w) for w in unwanted])
+    found = contains_any(F.col("sql"), wanted) if wanted else F.lit(True)
+    return found & ~contains_any(F.col("sql"), unwanted)
 
 
 def retain_transactions(records: DataFrame, matched: Column, explicit: Iterable[str] = ()) -> DataFrame:

@@ -226,6 +226,19 @@ def stats_filter_any(spark, d):
     return _filtered(spark, d, filters.stats_any({"username": ["ER3"], "appname": ["pp4"]}, ["9"], start="1996"))
 
 
+_LISTED_KEY = "k % 7 = 3 AND k < 60000"
+
+
+@_query(f"SELECT 'words' AS rule, file, pos FROM r WHERE tag IS NOT NULL AND k % 3 > 0 AND {_LISTED_KEY} UNION ALL SELECT 'patterns', file, pos FROM r WHERE tag IS NULL OR NOT (tag = 'UPD' OR k % 3 = 1 AND {_LISTED_KEY})")
+def filter_many_words(spark, d):
+    """17,142 words in statements, and 8,571 plain patterns beside one that is not plain."""
+    r = records(spark, d)
+    words = [w for k in range(3, 60_000, 7) for w in (f"o_orderkey = {k} AND", f"in ({k}, ")]
+    by_words = r.filter(filters.txn_sql(words)).select(F.lit("words").alias("rule"), "file", "pos")
+    by_patterns = r.filter(filters.exclude({"tag": ["^UPD$"], "sql": [w for w in words if "=" in w]}))
+    return by_words.unionByName(by_patterns.select(F.lit("patterns").alias("rule"), "file", "pos"))
+
+
 @_query(_kept("coalesce(exec_id IN (5, 6, 7), false) OR coalesce(exec_time_ms >= 4900, false) OR coalesce(row_count >= 98, false)"))
 def indicator_match(spark, d):
     return _filtered(spark, d, filters.indicators([5, 6, 7], 4900, 98))
@@ -474,6 +487,19 @@ def safe_key(spark, d):
     return records(spark, d).groupBy("sql").agg(F.count("*").alias("n")).withColumn("key", X.safe_key(F.col("sql")))
 
 
+def _nest(sql):
+    """A statement with the list of the given one in up to 41 more brackets, every fifth one with a sub-query."""
+    n = (F.col("pos") % 41).cast("int")
+    inner = F.concat(F.when(F.col("pos") % 5 == 0, "select ").otherwise(""), F.lit("("), F.regexp_extract(sql, r"in \((.*?)\)", 1), F.lit(")"))
+    return F.concat(F.lit("delete from q where k in "), F.repeat(F.lit("("), n + 1), inner, F.repeat(F.lit(")"), n + 1), F.lit(" and m in (1, (2))"))
+
+
+@_query("SELECT file, pos, CASE WHEN pos % 5 = 0 THEN 'DELETE FROM q WHERE k IN ' || repeat('(', (pos % 41 + 1)::INT) || 'SELECT (' || k || ', ' || (k + 1) || ')' || repeat(')', (pos % 41 + 1)::INT) || ' AND m IN (?)' ELSE 'DELETE FROM q WHERE k IN (?) AND m IN (?)' END AS template FROM w WHERE k % 3 = 2")
+def template_deep_lists(spark, d):
+    lists = records(spark, d).filter("tag IS NOT NULL AND sql LIKE '% in (%'")
+    return lists.select("file", "pos", X.template(_nest(F.col("sql"))).alias("template"))
+
+
 # ---- limits, unions, sinks
 
 

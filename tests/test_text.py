@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditlake.functions import text as X
+from auditlake.functions.words import contains_any
 
 
 def values(spark, f, cases):
@@ -46,6 +47,55 @@ def test_template(spark):
     assert values(spark, X.template, [*cases]) == [*cases.values()]
 
 
+def test_lists_of_any_depth(spark):
+    def deep(n):
+        return "(" * n + "8" + ")" * n
+
+    cases = {
+        f"z in {deep(14)} and 8": "z IN (?) AND 8", f"z in {deep(200)} and 8": "z IN (?) AND 8", "a in (b in (1), (c in(2)))x": "a IN (?)x",
+        "a in (1, (select y in (3, (4))), z in (5)) or b in ()": "a IN (1, (SELECT y IN (?)), z IN (?)) OR b IN (?)", "a in (1, b in (2)": "a IN (1, b IN (?)", ") in (1))": ") IN (?))",
+        "a in (')', 'from', /* ) */ 3) b": "a IN (?) b", "x /* in ( */ in (1)": "x IN (?)", "in\n (1) in": "IN (?) IN", "x in ('open": "x IN ('open", "a in (t.from, fromage)": "a IN (?)", "a / b in (1/2) /": "a / b IN (?) /",
+        "": "", "x in (\ufdd0)\ufdd0": "x IN (?)\ufffd",
+    }
+    assert values(spark, X.template, [*cases]) == [*cases.values()]
+    large = {"a in (" + ", ".join(f"'{i}'" for i in range(200_000)) + ")": "a IN (?)", " or ".join(f"x in ({i}, (2))" for i in range(2000)): " OR ".join(["x IN (?)"] * 2000), f"q in {deep(20_000)}": "q IN (?)"}
+    assert values(spark, X.template, [*large]) == [*large.values()]
+
+
+def test_lists_of_made_up_statements(spark):
+    rng = random.Random(8)
+
+    def made(depth):
+        """A piece of a statement, what becomes of it, and whether it holds a sub-query."""
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            w = rng.choice(["7", "'a)'", "q.in", "=", "'in ('"])
+            return w, w, False
+        parts = [made(depth - 1) for _ in range(rng.randint(1, 3))]
+        raw, cut, query = " ".join(p[0] for p in parts), " ".join(p[1] for p in parts), any(p[2] for p in parts)
+        if kind < 0.5:
+            return f"({raw})", f"({cut})", query
+        if kind < 0.6:
+            return f"select {raw}", f"SELECT {cut}", True
+        return f"in ({raw})", f"IN ({cut})" if query else "IN (?)", query
+
+    cases = dict(made(rng.randint(1, 20))[:2] for _ in range(300))
+    assert values(spark, X.template, [*cases]) == [*cases.values()]
+
+
+def test_many_words_at_once(spark):
+    words = [f"w{i}x" for i in range(10_000)]
+    texts = ["a w17x", "w17", "W17x", "", None, "…w9999x…", "w10000x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    hit = contains_any(F.col("s"), words)
+    assert [r[0] for r in df.orderBy("i").select(hit).collect()] == [any(w in (t or "") for w in words) for t in texts]
+    assert len(df.filter(hit)._jdf.queryExecution().toString()) < 5000
+    assert [r[0] for r in df.orderBy("i").select(contains_any(F.col("s"), [*words, ""])).collect()] == [t is not None for t in texts]
+    assert not df.filter(contains_any(F.col("s"), [])).count()
+    with pytest.raises(ValueError, match="at most"):
+        contains_any(F.col("s"), [str(i) * 1000 for i in range(3000)])
+
+
 def test_params(spark):
     head = "PARAMS(SEQNO, TYPE, DATA)="
     cases = {
