@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.operators.binding import bind_params
@@ -72,6 +73,34 @@ def export_counts(records: DataFrame, exported: DataFrame) -> DataFrame:
     return read.join(F.broadcast(exported.agg(F.count("*").alias("exported")))).select("exported", (F.col("good") - F.col("exported")).alias("skipped"), "failed")
 
 
+def _observed(seen: Observation) -> dict[str, int]:
+    """What was counted; nothing where Spark found that part of the plan to be empty and dropped it."""
+    try:
+        return seen.get
+    except Py4JJavaError as e:  # PySpark can't turn a row without columns into one of its own
+        if "AssertionError" not in str(e.java_exception):
+            raise
+        return {}
+
+
+def export_counted(records: DataFrame, write: Callable[[DataFrame], None], **options) -> dict[str, int]:
+    """Export with ``write``, and count ``exported``, ``skipped`` and ``failed`` in that same run.
+
+    ``write`` runs one action on the rows that it gets; ``options`` are those of :func:`export_job`.
+    The rows are counted where they pass, so nothing is read again for it. Where Spark has dropped a
+    part of the plan as empty, what was counted there is lost, and the log is counted by itself. A
+    stage that is run anew because its shuffle files were lost counts its rows again: where that
+    matters there is :func:`export_counts`.
+    """
+    read, done = Observation(), Observation()
+    seen = records.observe(read, F.count_if("parse_ok").alias("good"), F.count_if(~F.col("parse_ok")).alias("failed"))
+    write(export_job(seen, **options).observe(done, F.count("*").alias("exported")))
+    exported, counts = _observed(done).get("exported", 0), _observed(read)
+    if not counts:
+        counts = records.agg(F.count_if("parse_ok").alias("good"), F.count_if(~F.col("parse_ok")).alias("failed")).first().asDict()
+    return {"exported": exported, "skipped": counts["good"] - exported, "failed": counts["failed"]}
+
+
 def stats_job(records: DataFrame, words: dict | None = None, start: str | None = None, end: str | None = None, top: int = 10, groups: Iterable[str] = ("user",), bucket: str | None = None, listing: DataFrame | None = None, skipped: DataFrame | None = None) -> dict[str, DataFrame]:
     """Sections by name: totals, slow, groups, and buckets if asked for.
 

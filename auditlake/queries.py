@@ -12,11 +12,13 @@ from auditlake.fixtures import W_SQL, log_lines, records, write_log_files
 from auditlake.functions import text as X
 from auditlake.operators import binding, filters, partials, shaping, stats, templates
 from auditlake.operators.partials import PARTS
-from auditlake.plans.jobs import digest_job, export_counts, export_job, export_new
+from auditlake.plans import reports
+from auditlake.plans.jobs import digest_job, export_counted, export_counts, export_job, export_new
 from auditlake.sources import blocks, logs, sinks
 from auditlake.sources.manifest import Incremental
 from auditlake.storage import remove, shared_folder
 from auditlake.streaming import logs as streams
+from auditlake.streaming.tail import tail_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -565,6 +567,14 @@ def export_counters(spark, d):
     return export_counts(read, export_job(read, patterns={"username": ["USER[12]"]}, bind=False))
 
 
+@_query("SELECT count(*)::BIGINT AS exported, ((SELECT count(*) FROM r) - count(*))::BIGINT AS skipped, (SELECT count(*) FROM w WHERE k % 500 = 0)::BIGINT AS failed, count(*)::BIGINT AS written FROM r WHERE regexp_matches(username, 'USER[12]')")
+def export_one_pass(spark, d):
+    path = shared_folder(spark, "csv")
+    counts = export_counted(records(spark, d, bad=True), lambda rows: sinks.write_csv(rows, path), patterns={"username": ["USER[12]"]}, bind=False)
+    written = sinks.read_csv(spark, path, export_job(records(spark, d), bind=False).schema).agg(F.count("*").alias("written"))
+    return written.select(*[F.lit(counts[n]).cast("long").alias(n) for n in ("exported", "skipped", "failed")], "written")
+
+
 @_query("SELECT file, pos, sql FROM r WHERE trx_id IN (SELECT trx_id FROM r WHERE exec_time_ms >= 4950) OR trx_id IN ('3', '5')")
 def export_transactions(spark, d):
     read = records(spark, d)
@@ -591,6 +601,14 @@ def json_report(spark, d):
     return spark.read.schema(rows.schema).json(path)
 
 
+@_query("""SELECT 'summary' AS section, NULL::BIGINT AS rank, NULL::VARCHAR AS fingerprint, NULL::BIGINT AS count, count(DISTINCT file)::BIGINT AS files, count(*)::BIGINT AS records, (SELECT count(*) FROM w WHERE k % 500 = 0)::BIGINT AS errors, 0::BIGINT AS skipped, count(DISTINCT fp)::BIGINT AS fingerprints, 2::BIGINT AS shown FROM r
+UNION ALL SELECT * FROM (SELECT 'entries', row_number() OVER (ORDER BY count(*) DESC, fp)::BIGINT AS rank, fp, count(*)::BIGINT, NULL, NULL, NULL, NULL, NULL, NULL FROM r GROUP BY fp ORDER BY rank LIMIT 2)""")
+def digest_json(spark, d):
+    path = shared_folder(spark, "json")
+    reports.json_lines(reports.digest_report(records(spark, d, bad=True), top=2)).write.text(path)
+    return spark.read.schema("section string, rank long, fingerprint string, count long, files long, records long, errors long, skipped long, fingerprints long, shown long").json(path)
+
+
 @_query("SELECT file, pos, replace(sql, '''', '\"') AS sql FROM r")
 def csv_quotes(spark, d):
     rows, path = records(spark, d).select("file", "pos", F.translate("sql", "'", '"').alias("sql")), shared_folder(spark, "csv")
@@ -656,6 +674,23 @@ def stream_digest(spark, d):
     return done.select("fingerprint", "count", "total_ms", "first_seen")
 
 
+def _numbered(lines):
+    """Lines with their numbers before them."""
+    return lines.withColumn("value", F.concat("pos", F.lit("|"), "value"))
+
+
+@_query("SELECT file, pos, ts, trx_id, exec_id, sql FROM r UNION ALL SELECT file, pos, ts, trx_id, exec_id, sql FROM r WHERE file = 'orders_1992.log' AND pos > 3000")
+def stream_tail(spark, d):
+    """Files grow and one begins anew between three runs; a line arrives once, and again where its file began anew."""
+    out, state, folder = shared_folder(spark, "tail"), shared_folder(spark, "state"), shared_folder(spark, "logs")
+    steps = ("pos <= 4000", "true", "file <> 'orders_1992.log' OR pos > 3000")
+    for shown in steps:
+        write_log_files(spark, d, lambda lines, shown=shown: _numbered(lines).filter(shown), folder)
+        done = streams.run_to_table(tail_lines(spark, folder, 1 << 18), out, state)
+    rows = done.select("file", F.substring_index("value", "|", 1).cast("long").alias("pos"), F.expr("substring(value, instr(value, '|') + 1)").alias("value"))
+    return logs.parse_sqllog(rows).select("file", "pos", "ts", "trx_id", "exec_id", "sql")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
