@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import WORD, Scratch
+from auditlake.operators.shaping import with_rank
 
 #: Documents of a source that the landing decides together.
 LANDING = 12
 _TINY = 1e-9
+#: Equal rows that are told apart at a time.
+_MANY = 4096
 _COLUMNS = ("doc_id", "h", "sid", "size", "base", "pi", "block")
 
 
+def ladder(sizes: list[int], pi: list[float], rungs: int) -> list[int]:
+    """Undecided units for the landing, about each half the size of the one before, the largest one first.
+
+    Their sums come near to any number of tokens, whatever units the flight leaves undecided.
+    """
+    left = [i for i, p in enumerate(pi) if _TINY < p < 1 - _TINY]
+    out: list[int] = []
+    rung = float(max((sizes[i] for i in left), default=0))
+    while left and len(out) < rungs:
+        near = min(left, key=lambda i: (abs(math.log2(max(sizes[i], 0.5)) - math.log2(max(rung, 0.5))), i))
+        out.append(near)
+        left.remove(near)
+        rung = min(rung, sizes[near]) / 2
+    return out
+
+
 def flight(sizes: list[int], pi: list[float], rng: random.Random, spare: int = 0) -> list[float]:
-    """Move inclusion probabilities to 0 or 1 until at most two, and the last ``spare``, are left in between.
+    """Move inclusion probabilities to 0 or 1 until at most two are left in between, and ``spare`` more for the landing (see :func:`ladder`).
 
     With three undecided units there is a direction that changes neither the expected number of
     documents nor the expected number of tokens: the cross product of (1, 1, 1) and the sizes.
@@ -26,8 +46,8 @@ def flight(sizes: list[int], pi: list[float], rng: random.Random, spare: int = 0
     until a unit reaches 0 or 1 and the next one takes its place.
     """
     out, live = list(pi), []
-    undecided = [i for i, p in enumerate(pi) if _TINY < p < 1 - _TINY]
-    for i in undecided[: max(0, len(undecided) - spare)]:
+    kept = set(ladder(sizes, pi, spare)) if spare else set()
+    for i in (i for i, p in enumerate(pi) if _TINY < p < 1 - _TINY and i not in kept):
         live.append(i)
         while len(live) == 3:
             a, b, c = (sizes[j] for j in live)
@@ -94,26 +114,27 @@ def _flown(level: int, last: bool):
     return run
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
     """``source, sid, source_size, docs, target`` from ``source, size`` rows.
 
     Shares of the total follow the weights, capped at ``most`` times a source's size, what is cut
-    being shared again by weight. In ascending order of cap per weight this has a closed form: the
-    common level ``(total - caps before) / (weights from here on)`` holds from the first source on
-    whose cap is not below it, and is the largest of those that hold.
+    being shared again by weight: the level of a unit of weight is raised, by sums over all sources, until it
+    takes no further source above its cap. Sources are ranked range by range, so neither needs
+    one task for all of them.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    per = per.withColumn("sid", F.row_number().over(by_name))
-    per = per.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("sid") - 1, F.lit(len(weights))) + 1).cast("int")))
-    per = per.withColumn("cap", most * F.col("source_size"))
-    all_, by_cap = Window.partitionBy(), Window.orderBy(F.col("cap") / F.col("w"), "sid")
-    before = F.coalesce(F.sum("cap").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    level = (F.sum("source_size").over(all_) - before) / F.sum("w").over(by_cap.rowsBetween(0, Window.unboundedFollowing))
-    per = per.withColumn("level", level)
-    fits = F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))
-    per = per.withColumn("fit", F.max(fits).over(all_))
-    return per.select("source", "sid", "source_size", "docs", F.coalesce(F.least("cap", F.col("fit") * F.col("w")), F.col("cap")).alias("target"))
+    scratch = Scratch(sizes.sparkSession)
+    per = scratch.cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")))
+    per = with_rank(per, F.col("source").asc_nulls_last()).withColumnRenamed("rank", "sid")
+    per = scratch.cut(per.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("sid") - 1, F.lit(len(weights))) + 1).cast("int"))))
+    cap = F.lit(most).cast("long") * F.col("source_size")
+    total, level, full = per.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
+    while True:
+        over = cap <= F.col("w") * level
+        n, caps, weight = per.agg(F.count_if(over), F.sum(F.when(over, cap)), F.sum(F.when(~over, F.col("w")))).first()
+        if n == full or not weight:
+            break
+        level, full = (total - (caps or 0)) / weight, n
+    return per.select("source", "sid", "source_size", "docs", F.least(cap.cast("double"), F.col("w") * level).alias("target"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, block: int = 1000, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -122,10 +143,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Sources in code point order, null last, get ``weights`` in turn; see :func:`source_targets`. A
     source with target/size ``r`` takes every document ``floor(r)`` times, and once more with
     probability ``r - floor(r)``, decided by the cube method balanced on tokens and documents. The
-    flight runs in blocks of about ``block`` documents, formed by the hash of id and text, texts that
+    flight runs in blocks of about ``block`` documents, formed by the hash of id and text, equal rows being
+    numbered first, and texts that
     make up much of a block being decided first; at most two
     undecided documents of each block meet in the blocks of the next level, until one block per
-    source is left, whose last dozen land nearest to the target. So no task ever sees a whole source,
+    source is left, whose last dozen, on a ladder of sizes, land nearest to the target. So no task ever sees a whole source,
     and as blocks, their order and their random numbers follow from the ids, reruns agree.
 
     Returns a row per input row: ``doc_id, source, size`` (words of the text; null: 0),
@@ -139,7 +161,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per = scratch.cut(source_targets(rows, weights, most))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate + _TINY)
-    h = F.xxhash64("doc_id", "size", "words_hash")
+    # equal rows are numbered, so that many of them are in many blocks
+    number = lambda frm, to: F.explode(F.sequence(frm, to))
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("equal")).withColumn("many", number(F.lit(0).cast("long"), F.floor((F.col("equal") - 1) / _MANY)))
+    rows = counted.withColumn("number", number(F.col("many") * _MANY, F.least("equal", (F.col("many") + 1) * _MANY) - 1))
+    h = F.xxhash64("doc_id", "size", "words_hash", *[f"carry_{c}" for c in carry], "number")
     state = rows.join(per.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).select(
         "doc_id", h.alias("h"), "sid", "size", whole.cast("int").alias("base"),
         F.greatest(F.lit(0.0), rate - whole).alias("pi"), F.pmod(h, F.ceil(F.col("docs") / block)).cast("int").alias("block"),

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from auditlake.llm import binary, chaining, common, encode, katz, langid, minhash, mixing, packing, secrets
@@ -300,6 +301,37 @@ def test_one_large_text_among_small_ones(spark):
             assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.005 * own[0]["target"]
 
 
+def test_landing_comes_near_to_targets(spark):
+    """Sources of a few hundred texts, some long, end within a thousandth of their targets."""
+    rng = random.Random(5)
+    rows = [(1000 * s + i, "w " * int(rng.lognormvariate(4.5, 1.2)), "en", f"s{s:02d}", 1) for s in range(12) for i in range(400)]
+    got = mixing.mix_sources(make(spark, rows, extra=False)).collect()
+    for s in {r["source"] for r in got}:
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.001 * own[0]["target"]
+
+
+def test_equal_rows_are_in_many_blocks(spark):
+    rows = spark.range(30_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'same words here' AS text", "'en' AS lang", "IF(id < 20000, 'a', 'b') AS source", "1L AS n_chars")
+    got = mixing.mix_sources(rows, block=100)
+    by = {r["source"]: r for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()}
+    assert by["a"]["n"] == 20_000 and by["b"]["n"] == 10_000
+    assert all(abs(r["taken"] - r["target"]) <= 3 for r in by.values())
+
+
+def test_targets_of_many_sources(spark):
+    """Caps are met one after the other, and the level of the rest is the one at which all is shared."""
+    sizes = [(f"{i:05d}", int(1.9**(i % 40)) * (i % 5)) for i in range(3000)] + [(None, 7)]
+    got = mixing.source_targets(spark.createDataFrame(sizes, "source string, size long"), (5, 2, 1), 3).collect()
+    names = sorted(s for s, _ in sizes if s is not None)
+    assert {r["source"]: r["sid"] for r in got} == {s: i for i, s in enumerate([*names, None], 1)}
+    total = sum(n for _, n in sizes)
+    assert math.isclose(sum(r["target"] for r in got), total, rel_tol=1e-12)
+    levels = [r["target"] / (5, 2, 1)[(r["sid"] - 1) % 3] for r in got if r["target"] < 3 * r["source_size"]]
+    assert max(levels) - min(levels) <= 1e-9 * max(levels)
+    assert all(3 * r["source_size"] <= (5, 2, 1)[(r["sid"] - 1) % 3] * levels[0] * (1 + 1e-12) for r in got if r["target"] == 3 * r["source_size"])
+
+
 def test_flight_keeps_totals():
     rng = random.Random(1)
     sizes, pi = [rng.randint(1, 900) for _ in range(400)], [rng.random() for _ in range(400)]
