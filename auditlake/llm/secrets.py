@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +28,48 @@ GATE = {
 }
 #: Matches of a text that are gathered at a time.
 _PIECE = 128
+_SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 #: Runs shorter than these never count, so the scans may step over them.
 FAST = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}", "token": r"[A-Za-z0-9+/_-]{24,}"}
 
 
+def _fold(rows: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Spans gathered along an array by ``step``, from ``(at, out)`` and an element to the next ``(at, out)``.
+
+    This goes in pieces, as an array is copied whenever it grows.
+    """
+    none = F.array().cast(_SPANS)
+
+    def whole(all_: Column) -> Column:
+        pieces = F.sequence(F.lit(0), F.floor(F.greatest(F.size(all_) - 1, F.lit(0)) / _PIECE).cast("int"))
+
+        def piece(acc: Column, i: Column) -> Column:
+            got = F.array(F.aggregate(F.slice(all_, i * _PIECE + 1, F.lit(_PIECE)), F.struct(acc["at"].alias("at"), none.alias("out")), step))
+            return F.transform(got, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))[0]
+
+        return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out")), piece, lambda acc: F.flatten(acc["out"]))
+
+    # a variable of a lambda is computed once, anything else for every piece
+    return F.transform(F.array(rows), whole)[0]
+
+
+def _clear(token: Column, base: Column) -> Column:
+    """Tokens that overlap no base span, in order.
+
+    Ends of tokens and starts of base spans are gone through together: a token is clear if no base
+    span that starts before its end ends after its start. Tokens don't overlap each other.
+    """
+    event = lambda s, at, kind, value: F.struct(s[at].alias("at"), F.lit(kind).alias("base"), s["start"].alias("start"), s["end"].alias("end"), value.alias("value"))
+    events = F.array_sort(F.concat(F.transform(token, lambda s: event(s, "end", 0, s["value"])), F.transform(base, lambda s: event(s, "start", 1, F.lit("")))))
+
+    def step(acc: Column, x: Column) -> Column:
+        span = F.struct(F.lit("token").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))
+        clear = (x["base"] == 0) & (acc["at"] <= x["start"])
+        return F.struct(F.when(x["base"] == 1, F.greatest(acc["at"], x["end"])).otherwise(acc["at"]).alias("at"), F.when(clear, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    return F.when(F.size(base) == 0, token).otherwise(_fold(events, step))
+
+
 def _found(text: Column, kind: str) -> Column:
     """Array of (kind, start, end, value) of one kind, in code points, end exclusive.
 
@@ -49,20 +89,11 @@ def _found(text: Column, kind: str) -> Column:
         keep = F.length(x["value"]) >= LEAST[kind]
         return F.struct(F.coalesce(end, begin).alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    # in pieces, as an array is copied whenever it grows
-    pieces = F.sequence(F.lit(0), F.floor(F.greatest(F.size(rows) - 1, F.lit(0)) / _PIECE).cast("int"))
-    whole = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<kind:string,start:int,end:int,value:string>>>").alias("out"))
-
-    def piece(acc: Column, i: Column) -> Column:
-        begin = F.struct(acc["at"].alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("out"))
-        got = F.array(F.aggregate(F.slice(rows, i * _PIECE + 1, F.lit(_PIECE)), begin, step))
-        return F.transform(got, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))[0]
-
-    out = F.aggregate(pieces, whole, piece, lambda acc: F.flatten(acc["out"]))
+    out = _fold(rows, step)
     if kind == "token":
         mixed = lambda v: v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9].*[0-9]")
         out = F.filter(out, lambda s: mixed(s["value"]))
-    return F.when(text.rlike(GATE[kind]), out).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))
+    return F.when(text.rlike(GATE[kind]), out).otherwise(F.array().cast(_SPANS))
 
 
 def _joined(spans: Column) -> Column:
@@ -101,8 +132,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     base = base.withColumn("_base", F.concat("_assign", "_access", "_hex"))
     # a token that overlaps a base span adds nothing
-    clear = F.filter("_token", lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    hashed = F.transform(F.concat("_base", clear), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")))
+    hashed = F.transform(F.concat("_base", _clear(F.col("_token"), F.col("_base"))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")))
     scan = scratch.cut(
         base.select(
             "doc_id", *carry, "_owner", "_repo",
