@@ -22,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 HASH_CACHE = 600_000
 #: Rows of an Arrow batch at most: texts and sets are long, and a batch is held in memory.
 BATCH_ROWS = 1000
+#: Buckets of a table at most. Beyond it a bucket holds several groups, read one after the other.
+BUCKETS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -108,7 +110,12 @@ class Scratch:
         return self._known(self.spark.read.schema(df.schema).parquet(path), path)
 
     def bucketed(self, df: DataFrame, column: str, buckets: int) -> DataFrame:
-        """As ``cut``, in buckets of ``column``: grouping by it needs no shuffle."""
+        """As ``cut``, in buckets of ``column``, ``BUCKETS`` at most: grouping by it needs no shuffle.
+
+        Where that bound is met, rows are dealt to the buckets before they are written, one file each.
+        """
+        if buckets > BUCKETS:
+            df, buckets = df.repartition(BUCKETS, column), BUCKETS
         path, name = self._new(), f"scratch_{uuid.uuid4().hex}"
         with self._cleaned():
             df.write.bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(name)
