@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from auditlake.llm.common import ship, slices
 
-#: Languages by family. A language that is not listed is a family of its own.
+#: Languages by family. A language that is not listed is a family of its own, so the first step alone tells it.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
     "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl"),
@@ -120,17 +120,23 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"lang": b["lang"], "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
 
-def train(labelled: DataFrame, per_language: int = 800, families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
+def train(labelled: DataFrame, per_language: int = 800, families: dict[str, tuple[str, ...]] = FAMILIES, labels: int = 100, rows: int = 20_000) -> Model:
     """Fit a model on ``labelled(id, text, lang)``.
 
-    ``per_language`` bounds the sample: of each language about so many rows, picked by the hash of
-    the id, give their whole texts. Rows with a null text, language or id are not learned from.
+    The sample is bounded: the ``labels`` most frequent languages (ties: first by name) are learned,
+    and of each about ``per_language`` rows, or an equal share of ``rows`` if that is less, picked by the
+    hash of the id, give their whole texts. So however many labels a column has, the driver gets about
+    ``rows`` lists of 4096 weights at most. Rows with a null text, language or id are not learned from.
     """
-    ship(labelled.sparkSession)
-    rows = labelled.filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    pick = F.pmod(F.xxhash64("id"), F.lit(1 << 53)) / F.lit(float(1 << 53)) < per_language / F.col("n")
-    got = rows.join(sizes, "lang").filter(pick).select("lang", "text").mapInArrow(_sampled, "lang string, x binary").collect()
+    spark = labelled.sparkSession
+    ship(spark)
+    own = labelled.filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(labels).collect()
+    most = min(per_language, rows // max(len(sizes), 1))
+    # a row for each of at most ``labels`` languages: texts stay where they are
+    rates = F.broadcast(spark.createDataFrame([(r["lang"], most / r["n"]) for r in sizes], "lang string, rate double"))
+    pick = F.pmod(F.xxhash64("id"), F.lit(1 << 53)) / F.lit(float(1 << 53)) < F.col("rate")
+    got = own.join(rates, "lang").filter(pick).select("lang", "text").mapInArrow(_sampled, "lang string, x binary").collect()
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, 4096), np.float32)
     return Model(x, [r["lang"] for r in got], families)
 
@@ -161,7 +167,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns a row per input row: ``doc_id, held_out, lang_pred, score``. The prediction is one of
     the languages learned, or ``und`` with score 0 for a text that is null or holds no letter, or
     if there was nothing to learn from. The score is the family's share among all families times
-    the mean chance of the winner in its pairs. Repeated rows are each reported; a null id is
+    the mean chance of the winner in its pairs; languages that tie go to the first by name. Repeated rows are each reported; a null id is
     never held out and never learned from. Other columns are not read.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
