@@ -62,6 +62,6 @@ def test_odd_rows_and_no_rows(spark, odd, none):
 
 def test_queries_are_registered():
     numbers = sorted(int(k[2:].split("_")[0]) for k in Q.queries() if k.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in Q.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in Q.queries()
     entry = importlib.import_module("__spark_entry__")
     assert set(Q.queries()) <= set(entry.queries())
