@@ -130,11 +130,14 @@ def _counted(sieve, step: int, shards: int, longest: int, buckets: int):
         at = np.flatnonzero(h)
         acc = np.zeros(len(h), np.uint64)
         acc[at] = mix(h[at] ^ _seed(lang))
+        since = np.zeros(len(at), np.int32)
         if step < shards:
-            yield from parts(lang, 1, h[at][:, None], acc[at], np.zeros(len(at), np.int32))
+            yield from parts(lang, 1, h[at][:, None], acc[at], since)
         for n in range(2, most + 1):
+            step_of = table[n - 2][(acc[at] & mask).astype(np.int64)].astype(np.int32)
             reach = np.zeros(len(h) + 1, np.int32)
-            reach[at] = table[n - 2][(acc[at] & mask).astype(np.int64)]
+            # a part whose slot another phrase wrote before it was seen itself counts from when it was seen
+            reach[at] = np.where(step_of > 0, np.maximum(step_of, since), 0)
             at = np.flatnonzero((reach[:-1] > 0) & (reach[1:] > 0))
             since = np.maximum(reach[at], reach[at + 1])
             own = _longer(acc[at], h[at + n - 1])
@@ -147,8 +150,9 @@ def _counted(sieve, step: int, shards: int, longest: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
         size = 0
-        # the longest phrases that became active within the last cycle; longer ones need no look
-        most = max([n for n in range(2, longest + 1) if (sieve.value[n - 2] > max(0, step - shards)).any()], default=1)
+        # the longest phrases that can have become active within the last cycle; longer ones need no look
+        latest = np.maximum.accumulate(sieve.value.max(axis=1))
+        most = max([n for n in range(2, longest + 1) if sieve.value[n - 2].any() and latest[n - 2] > max(0, step - shards)], default=1)
         for b in slices(batches, 1):
             tokens = np.frombuffer(b["tokens"][0].as_buffer(), np.uint64)
             held.setdefault(b["lang"][0].as_py(), []).append(tokens.copy())
@@ -224,8 +228,9 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = 100, longes
 
     Tasks learn what is active from a table of fixed size, ``slots`` entries for each length below the
     longest: the step in which a phrase of that hash reached ``least``. A step once written stays. So
-    phrases that share a slot may be counted too early or in vain, but never in part: the step in
-    which a phrase starts is the same for all tasks, and counts are exact however full the table.
+    phrases that share a slot may be counted too early or in vain, but never in part: a phrase
+    starts with the latest step among the slots of all phrases inside it, as it is not seen before
+    that; this is the same for all tasks, and counts are exact however full the table.
 
     Counts travel as arrays, one for each language, length and range of hashes, so that a shuffle has
     few rows; a task adds each of its counts up before it sends them, so frequent phrases are no load.

@@ -220,3 +220,21 @@ def test_long_texts_are_cut_between_pieces(spark, monkeypatch):
     sizes = [np.frombuffer(r["tokens"], np.uint64) for r in rows]
     assert all(s[-1] == 0 for s in sizes) and len(rows) > 5 and sum(r["n"] for r in rows) == 40 * 5 + 200 + 60
     assert max(len(s) for s in sizes) == 201 and {r["shard"] for r in rows} == {0, 1}
+
+
+def test_a_slot_written_early_does_not_cut_a_count():
+    """Both halves of ``a b c`` lie in slots that other phrases wrote in step 2; its words are active from step 5 on."""
+    h = np.array([11, 22, 33, 0], np.uint64)
+    one = phrases.mix(h[:3] ^ phrases._seed("en"))
+    two = phrases._longer(one[:2], h[1:3])
+    table = np.zeros((4, 1024), np.uint8)
+    table[0, (one & np.uint64(1023)).astype(int)] = 5
+    table[1, (two & np.uint64(1023)).astype(int)] = 2
+    batch = pa.record_batch({"lang": ["en"], "tokens": pa.array([h.tobytes()], pa.binary())})
+    steps = {}
+    for step in range(1, 12):
+        for b in phrases._counted(type("Sent", (), {"value": table}), step, 3, 5, 1)(iter([batch])):
+            for r in b.to_pylist():
+                if r["n"] == 3:
+                    steps[step] = np.frombuffer(r["since"], np.uint16).tolist()
+    assert steps == {5: [5], 6: [5], 7: [5]}  # one cycle, every shard once
