@@ -20,6 +20,8 @@ _HEADER = re.compile(rb"(?<=\n)\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d+ \(EP\[")
 _SCHEMA = pa.schema([("file", pa.string()), ("path", pa.string()), ("pos", pa.int64()), ("value", pa.string())])
 _READ = 1 << 20
 _BATCH = 4 << 20
+#: Tasks beyond which blocks grow, and their size where they stop growing: each task is sent the list of all.
+TASKS, MOST = 500, 1 << 27
 
 
 def scheme(path: str) -> str:
@@ -33,6 +35,11 @@ def _opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
+def width(block: int, total: int) -> int:
+    """The length of the blocks of ``total`` bytes: ``block``, or more where that would make too many tasks."""
+    return max(block, min(MOST, -(-total // TASKS)))
+
+
 class _Block(InputPartition):
     def __init__(self, path: str, start: int, end: int):
         self.path, self.start, self.end = path, start, end
@@ -102,7 +109,9 @@ class _Reader(DataSourceReader):
             files = [f for f in store.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if fnmatch.fnmatchcase(f.base_name, pattern)]
             if not files:
                 raise FileNotFoundError(f"PATH_NOT_FOUND: {self.path}")
-        return [_Block(f.path, i, min(i + self.block, f.size)) for f in sorted(files, key=lambda f: f.path) if f.is_file for i in range(0, f.size, self.block)]
+        files = sorted((f for f in files if f.is_file), key=lambda f: f.path)
+        step = width(self.block, sum(f.size for f in files))
+        return [_Block(f.path, i, min(i + step, f.size)) for f in files for i in range(0, f.size, step)]
 
     def read(self, partition: _Block) -> Iterator[pa.RecordBatch]:
         store, _ = _opened(self.path)
@@ -143,7 +152,8 @@ class LogBlocks(DataSource):
 def read_records(spark: SparkSession, path: str, block_bytes: int = 1 << 27, encoding: str = "utf-8") -> DataFrame:
     """Whole records, of one line or more, of a log file, of the ``*.log`` files of a folder, or of those a pattern names.
 
-    Files are cut into blocks of ``block_bytes``, a task each. A task skips what stands before the
+    Files are cut into blocks of ``block_bytes``, a task each; where that would be more than some
+    hundreds of tasks, blocks are longer, up to 128 MB. A task skips what stands before the
     first record of its block and reads beyond its end until the next record begins, however many
     blocks that takes. So every file is read once (but for those ends), nothing is sorted or
     shuffled, and a large file is read by many tasks. ``pos`` is the place in bytes. Lines before

@@ -11,10 +11,14 @@ from auditlake.storage import is_folder, stat_files
 
 #: A record. The groups are time, endpoint, session, thread, user, transaction, statement,
 #: application, address, tag, text, milliseconds, rows, execution id.
-RECORD = (
+_HEAD = (
     r"(?s)\A(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d+) \(EP\[(\d+)\] sess:(\S*) (?:thrd:(\S*) )?user:(.*?) trxid:(\S*) stmt:(\S*)"
-    r" appname:(.*?) ip:(\S*?)\) (?:\[([A-Z]+)\] )?(.*?)(?:\.? *EXECTIME: ([0-9.]+)\(ms\) ROWCOUNT: (\d+)\(rows\) EXEC_ID: (\d+)\.?)?\s*\z"
+    r" appname:(.*?) ip:(\S*?)\) (?:\[([A-Z]+)\] )?(.*?)"
 )
+_TAIL = r"EXECTIME: ([0-9.]+)\(ms\) ROWCOUNT: (\d+)\(rows\) EXEC_ID: (\d+)\.?"
+RECORD = rf"{_HEAD}(?:\.? *{_TAIL})?\s*\z"
+#: The same for records with long runs of blanks, each looked through once: a statement that is not empty never ends behind a blank, but before a dot.
+BLANKS = rf"{_HEAD}(?![^.\sE])(?:(?:\. *+|(?:(?<! )|(?<=[)\]] )) *+){_TAIL}\s*+|(?:(?<!\s)|(?<=[)\]] ))\s*+)\z"
 #: What the first line of a record looks like.
 HEADER = r"\A\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d+ \(EP\["
 _MARK = "\x01"
@@ -97,7 +101,8 @@ def parse_sqllog(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     fields. Metrics are null where the tail is missing, and so are numbers that overflow.
     """
     order = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14, 11)
-    laid = F.split(F.regexp_replace("value", RECORD, _MARK.join(f"${i}" for i in order)), _MARK, len(order))
+    spread = [F.regexp_replace("value", pattern, _MARK.join(f"${i}" for i in order)) for pattern in (BLANKS, RECORD)]
+    laid = F.split(F.when(F.col("value").rlike(r"\s{16}"), spread[0]).otherwise(spread[1]), _MARK, len(order))
     # behind a generator the pattern runs once a row, whatever is filtered or selected above it
     rows = lines.withColumn("_f", F.explode(F.array(laid))).withColumn("parse_ok", F.coalesce(F.size("_f") == len(order), F.lit(False)))
 

@@ -94,7 +94,7 @@ class TailReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         store, _ = blocks._opened(self.path)
-        out = []
+        news = []
         for path, now in sorted(end["files"].items()):
             before, at = start["files"].get(path), 0
             if before == now:
@@ -102,8 +102,9 @@ class TailReader(DataSourceStreamReader):
             if before and now["done"] >= before["done"]:
                 with store.open_input_file(path) as stream:
                     at = before["done"] if _head(stream, before["head"]) == before["crc"] else 0
-            out += [_Range(path, i, min(i + self.block, now["done"]), i == at) for i in range(at, now["done"], self.block)]
-        return out
+            news.append((path, at, now["done"]))
+        step = blocks.width(self.block, sum(done - at for _, at, done in news))
+        return [_Range(path, i, min(i + step, done), i == at) for path, at, done in news for i in range(at, done, step)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         store, _ = blocks._opened(self.path)
@@ -148,7 +149,7 @@ def tail_lines(spark: SparkSession, folder: str, block_bytes: int = 1 << 27, enc
     A file that grows is read on from where it stopped; what stands behind its last line end waits
     until the line is complete. A file that is shorter than before, or begins otherwise, is read from
     its start again; one that goes is forgotten. New text is cut into blocks of ``block_bytes``, a
-    task each. The offset has an entry for each file there is, so files that are done should be moved
+    task each, longer ones where there would be too many. The offset has an entry for each file there is, so files that are done should be moved
     away. Files whose size and time are as before are not opened.
     """
     for module in (blocks, sys.modules[__name__]):

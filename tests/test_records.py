@@ -1,5 +1,8 @@
 """Files, parsing, filters, binding, statistics and sinks on small logs."""
 
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +161,19 @@ def test_complete_stream_is_a_table_of_files(spark, tmp_path):
         done = streams.run_to_table(streams.stream_records(spark, folder).groupBy("file").agg(F.count("*").alias("n")), out, state, "complete")
         assert done.inputFiles()
         assert {r["file"]: r["n"] for r in done.collect()} == {f"{i}.log": 5 for i in range(1, round_ + 1)}
+
+
+def test_long_runs_of_blanks_are_parsed_alike(spark):
+    tails = ["", " EXECTIME: 1.5(ms) ROWCOUNT: 2(rows) EXEC_ID: 3.", " . EXECTIME: 1(ms) ROWCOUNT: 2(rows) EXEC_ID: 3", "EXECTIME: 1(ms)", " \n"]
+    rows = [(head + body.replace("_", blank) + tail) for head in ("[SEL] ", "") for body in ("", "_", "a_b", "a_", "_ f(x) _", "a]_.") for tail in tails for blank in (" ", " " * 30, " \n" * 20)]
+    got = parsed(spark, [line(body=r) for r in rows]).orderBy("pos").collect()
+    one = re.compile(logs.RECORD.replace(r"\z", r"\Z"), re.ASCII)
+    assert [(r["tag"], r["sql"], r["exec_id"]) for r in got] == [(m[10], m[11], m[14] and int(m[14])) for m in (one.match(line(body=r)) for r in rows)]
+
+
+def test_time_grows_with_blanks_and_not_with_their_square():
+    for run in (" \n", " "):
+        text = line(body="[SEL] " + ("a" + run * 20_000) * 3 + "b")
+        begin = time.perf_counter()
+        assert re.match(logs.BLANKS.replace(r"\z", r"\Z"), text)
+        assert time.perf_counter() - begin < 2
