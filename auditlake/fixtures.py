@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.sources.logs import parse_sqllog
-from auditlake.storage import remove, rename, shared_folder, stat_files
+from auditlake.storage import join_files, remove, rename, shared_folder, stat_files
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,12 +58,18 @@ def records(spark: SparkSession, sf_dir: str, bad: bool = False) -> DataFrame:
 def write_log_files(spark: SparkSession, sf_dir: str, shaped: Callable[[DataFrame], DataFrame] = lambda lines: lines, folder: str | None = None) -> str:
     """Write the lines, ``shaped`` as a test needs them, as one text file for each log file; returns the folder."""
     folder = folder or shared_folder(spark, "logs")
-    lines = shaped(log_lines(spark, sf_dir)).repartition("file").sortWithinPartitions("file", "pos")
+    # ranges of files and places: a large file is written by many tasks
+    lines = shaped(log_lines(spark, sf_dir)).repartitionByRange("file", "pos").sortWithinPartitions("file", "pos")
     by = f"{folder}/by-{uuid.uuid4().hex}"
     lines.select("value", "file").write.partitionBy("file").text(by)
-    moves = [(p, f"{folder}/{p.split('file=')[1].split('/')[0]}") for _, p, _, _ in stat_files(spark, by, "file=*/part-*")]
-    remove(spark, [new for _, new in moves])
-    rename(spark, moves)
+    parts: dict[str, list[str]] = {}
+    for name, path, _, _ in sorted(stat_files(spark, by, "file=*/part-*")):  # the parts of a file in the order of its ranges
+        parts.setdefault(path.split("file=")[1].split("/")[0], []).append(path)
+    whole = {f: p[0] if len(p) == 1 else f"{p[0]}-whole" for f, p in parts.items()}
+    join_files(spark, [(p, whole[f]) for f, p in parts.items() if len(p) > 1])
+    remove(spark, [f"{folder}/{f}" for f in parts])
+    rename(spark, [(new, f"{folder}/{f}") for f, new in whole.items()])
+    remove(spark, [x for p in parts.values() if len(p) > 1 for x in p])
     return folder
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from auditlake.operators.filters import by_trx_ids, time_range
 from auditlake.operators.partials import files_with
 from auditlake.sources.logs import list_logs, parse_sqllog, scan_files
-from auditlake.storage import move_new, stat_files
+from auditlake.storage import move_new, remove_folder, stat_files
 
 #: A row for each file: what it was when it was read, how many records it gave, when, and the batch that holds its partial results.
 SCHEMA = "path string, size long, mtime long, records long, processed_at timestamp, batch string"
@@ -111,8 +111,14 @@ class Incremental:
             records = self._records([f["path"] for f in files])
             if action is not None:
                 action(records)
-            for name, part in {**self.parts, "_records": _counted}.items():
-                part(records).write.parquet(f"{self.folder}/{name}/{batch}")
+            # the text is parsed once, all parts are made from the records
+            records.write.parquet(f"{self.folder}/_parsed/{batch}")
+            parsed = self.spark.read.schema(records.schema).parquet(f"{self.folder}/_parsed/{batch}")
+            try:
+                for name, part in {**self.parts, "_records": _counted}.items():
+                    part(parsed).write.parquet(f"{self.folder}/{name}/{batch}")
+            finally:
+                remove_folder(self.spark, f"{self.folder}/_parsed/{batch}")
             counted = self.spark.read.parquet(f"{self.folder}/_records/{batch}")
         rows = done.join(counted, "path", "left").select("path", "size", "mtime", F.coalesce("records", F.lit(0).cast("long")).alias("records"), F.current_timestamp().alias("processed_at"), F.lit(batch).alias("batch"))
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import shutil
+import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import SparkSession
 
 
@@ -30,6 +35,32 @@ def remove(spark: SparkSession, names: list[str]) -> None:
         path(name).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(name), False)
 
 
+def remove_folder(spark: SparkSession, name: str) -> None:
+    """Delete a folder with all that is in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_files(spark: SparkSession, joined: list[tuple[list[str], str]]) -> None:
+    """Write files one behind the other into a new one: ``(files, new)`` each, a task for each new file."""
+    from auditlake.sources import blocks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in b["id"].to_pylist():
+                store, new = blocks._opened(joined[i][1])
+                with store.open_output_stream(new) as out:
+                    for name in joined[i][0]:
+                        with store.open_input_stream(blocks._opened(name)[1]) as part:
+                            shutil.copyfileobj(part, out, 4 << 20)
+            yield b
+
+    if joined:
+        for module in (blocks, sys.modules[__name__]):
+            register_pickle_by_value(module)  # so that tasks need no installed package
+        spark.range(0, len(joined), 1, len(joined)).mapInArrow(run, "id long").collect()
+
+
 def is_folder(spark: SparkSession, name: str) -> bool:
     """Whether there is a folder of that name."""
     path = spark._jvm.org.apache.hadoop.fs.Path(name)

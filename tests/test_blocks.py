@@ -2,14 +2,17 @@
 
 import io
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from auditlake import fixtures
 from auditlake.functions import text as X
 from auditlake.operators import binding, filters, shaping, stats, templates
 from auditlake.plans import jobs
 from auditlake.sources import blocks, logs, sinks
+from auditlake.streaming import tail
 
 from .test_records import line, parsed
 
@@ -139,3 +142,28 @@ def test_a_failed_export_leaves_no_rows(spark, tmp_path):
         sinks.write_csv(bad, path)
     left = [p for p in tmp_path.rglob("part-*") if "_temporary" not in str(p)]
     assert left == [] and not (tmp_path / "out" / "_SUCCESS").exists()
+
+
+def test_small_blocks_of_much_text_are_few_tasks(tmp_path):
+    (tmp_path / "a.log").write_text((line() + "\n") * 20_000)
+    (tmp_path / "b.log").write_text(line() + "\n")
+    parts = blocks._Reader({"path": str(tmp_path), "blockbytes": "200"}).partitions()
+    assert blocks.TASKS // 2 < len(parts) <= blocks.TASKS + 2 and blocks.width(1 << 17, 1 << 40) == blocks.MOST
+    reader = tail.TailReader({"path": str(tmp_path), "blockbytes": "200"})
+    assert len(reader.partitions({"files": {}}, reader.latestOffset())) <= blocks.TASKS + 2
+    found = [at for p in parts for at, _ in blocks.records_of((tmp_path / p.path.rpartition("/")[2]).open("rb"), p.start, p.end)]
+    assert len(found) == 20_001
+
+
+def test_a_log_file_is_written_in_parts(spark, monkeypatch):
+    given = []
+    real = fixtures.join_files
+    monkeypatch.setattr(fixtures, "join_files", lambda spark, joined: (given.extend(joined), real(spark, joined)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder = fixtures.write_log_files(spark, "/root/testdata/sf0.001", lambda lines: lines.filter("file = 'orders_1995.log'"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(given) == 1 and len(given[0][0]) > 1
+    want = fixtures.log_lines(spark, "/root/testdata/sf0.001").filter("file = 'orders_1995.log'").orderBy("pos").select("value").collect()
+    assert Path(folder.removeprefix("file:"), "orders_1995.log").read_text().splitlines() == [r["value"] for r in want]
