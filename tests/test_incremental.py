@@ -128,3 +128,12 @@ def test_files_are_skipped_by_time_and_transaction(spark, tmp_path):
     assert one.count() == 1 and len(one.inputFiles()) <= 2
     write(logs, "late.log", [head.format(m=5, d=28, t=505)], 99)  # not in the manifest yet
     assert kept.records(trx_ids=["505"]).count() == 2 and kept.records(start="2027").count() == 0
+
+
+def test_text_is_parsed_once_for_all_parts(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    write(tmp_path / "logs", "a.log", [line()], 1000)
+    given = []
+    kept = Incremental(spark, str(tmp_path / "logs"), str(tmp_path / "kept"), {"x": lambda r: (given.extend(r.inputFiles()), r.select("path", "sql"))[1]})
+    assert kept.update()["read"] == 1 and kept.read("x").first()["sql"] == "SELECT 1"
+    assert given and all(f.endswith(".parquet") for f in given) and not [*(tmp_path / "kept" / "_parsed").glob("*-*")] and not [*(tmp_path / "kept" / "_parsed").iterdir()]
