@@ -183,6 +183,22 @@ def test_passage_of_sentences_that_stand_elsewhere_in_other_orders(spark):
     assert {(r["doc_id"], r["start"], r["end"], r["partner_id"]) for r in got} == {(0, 60, 120, 1), (1, 20, 80, 0)}
 
 
+def test_edited_passage_of_which_each_seed_stands_in_many_other_documents(spark):
+    rng = random.Random(12)
+    mk = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    sentences = [mk(12) for _ in range(6)]
+    whole = sum(sentences, [])
+    edited = [w if i % 12 else f"edited{i}" for i, w in enumerate(whole)]
+    rows = [(i, " ".join(mk(20) + (edited if i % 2 else whole) + mk(20)), "en", "s", 1) for i in range(2)]
+    for i in range(60):  # one sentence each, and many of those in one order that are too short together
+        rows.append((10 + i, " ".join(mk(30) + sentences[i % 6] + mk(30)), "en", "s", 1))
+    for i in range(30):
+        rows.append((100 + i, " ".join(mk(30) + whole[12 * (i % 4) : 12 * (i % 4) + 30] + mk(30)), "en", "s", 1))
+    got = chaining.repeated_passages(make(spark, rows)).collect()
+    assert {(r["doc_id"], r["partner_id"], r["group_id"]) for r in got} == {(0, 1, 0), (1, 0, 0)}
+    assert all(r["start"] <= 21 and r["end"] == 92 and r["identity"] >= 0.8 for r in got)
+
+
 def test_recall_of_edited_passages(spark):
     rng = random.Random(8)
     mk = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
