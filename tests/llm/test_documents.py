@@ -183,6 +183,31 @@ def test_passage_of_sentences_that_stand_elsewhere_in_other_orders(spark):
     assert {(r["doc_id"], r["start"], r["end"], r["partner_id"]) for r in got} == {(0, 60, 120, 1), (1, 20, 80, 0)}
 
 
+def test_pairs_with_seeds_in_common_are_joined_in_rounds_without_their_other_seeds(spark, monkeypatch):
+    rng = random.Random(14)
+    mk = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    line = mk(15)
+    rows = [(i, " ".join(mk(30) + sum((line + mk(20) for _ in range(3)), [])), "en", "s", 1) for i in range(16)]  # no passage
+    passage = mk(14) + line + mk(31)
+    rows += [(100 + i, " ".join(mk(10) + [w if i == 0 or j % 12 else "edited" for j, w in enumerate(passage)]), "en", "s", 1) for i in range(2)]
+    key = lambda rs: sorted(tuple(r) for r in rs)
+    want = key(chaining.repeated_passages(make(spark, rows)).collect())
+    assert {(r[0], r[3]) for r in want} == {(100, 101), (101, 100)}
+    cut, seen = chaining.Scratch.cut, []
+
+    def counted(self, df):
+        out = cut(self, df)
+        seen.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(chaining.Scratch, "cut", counted)
+    monkeypatch.setattr(chaining, "_PAIRS", 60)
+    assert key(chaining.repeated_passages(make(spark, rows)).collect()) == want
+    met = next(n for c, n in seen if c == ["node", "rep"] and n > 60)
+    rounds = [n for c, n in seen if c == ["hash", "rep", "node"]]
+    assert len(rounds) == 1 + met // 60 and 0 < max(rounds) < 60 * 15  # not every seed of every occurrence
+
+
 def test_edited_passage_of_which_each_seed_stands_in_many_other_documents(spark):
     rng = random.Random(12)
     mk = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
