@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from auditlake.functions.text import bind, params, placeholders
 from auditlake.schema import DML_TAGS
+from auditlake.storage import written
 
 
 #: Width of a slice of a file in places: bytes where a record's place is one, else numbers of records.
@@ -33,13 +34,16 @@ def bind_params(records: DataFrame, style: str | None = None, width: int = SLICE
     Only parameter records and such statements pass a window, and that window spans a slice of a
     file (``width`` places, or the block that was read), however busy a session is. Each slice also
     yields its last parameter record; a scan over these, a row per slice, carries it to the slices
-    after it, whose first statements take it.
+    after it, whose first statements take it. Records are written under ``spark.checkpoint.dir`` when
+    this is called, since three branches read them, and gone when the application ends.
     """
     if style not in (None, "sequential", "ordinal"):
         raise ValueError(f"{style}: no such style")
     given = F.col("tag").isNull() & F.col("sql").startswith("PARAMS(")
     found = F.when(F.col("tag").isin(*DML_TAGS), placeholders(F.col("sql")))
     marked = records.withColumn("_p", F.explode(F.array(found))).withColumn("_given", F.coalesce(given, F.lit(False)))
+    if not records.isStreaming:  # three branches read what is parsed and told apart here
+        marked = written(marked, "bind")
     takes = F.coalesce(F.col("_p.n") > 0, F.lit(False))
     key = F.struct(*[F.col(c).alias(c) for c in ("file", "sess_id", "statement")])
     busy = marked.filter(takes | F.col("_given")).withColumns({"_key": key, "_slice": _slice(records, width), "_own": F.when(F.col("_given"), params(F.col("sql")))})

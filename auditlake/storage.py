@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -21,6 +21,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root or 'file://' + tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a new folder under ``spark.checkpoint.dir`` and read from there; the folder goes when the application ends."""
+    spark = df.sparkSession
+    folder = shared_folder(spark, name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def rename(spark: SparkSession, moves: list[tuple[str, str]]) -> None:
     """Rename files within one store."""
     path = spark._jvm.org.apache.hadoop.fs.Path

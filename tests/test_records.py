@@ -102,6 +102,20 @@ def test_binding(spark):
         binding.bind_params(parsed(spark, rows), "other")
 
 
+def test_records_are_computed_once_for_binding(spark):
+    use = "[UPD] UPDATE t SET a = ?"
+    rows = parsed(spark, [line(body=b) for b in ("PARAMS(SEQNO, TYPE, DATA)={(0, DEC, 1)}", use, "[SEL] SELECT 1", use)])
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(sql):
+        seen.add(1)
+        return sql
+
+    counted = rows.withColumn("sql", F.udf(count, "string")("sql"))
+    got = [r["normalized_sql"] for r in binding.bind_params(counted).orderBy("pos").collect()]
+    assert got == [None, "UPDATE t SET a = 1", None, "UPDATE t SET a = 1"] and seen.value == 4
+
+
 def test_percentiles(spark):
     seen = spark.createDataFrame([("k", i, 1, "a", "b") for i in range(1, 101)], "template_key string, us long, n long, first_seen string, last_seen string")
     for mode in ("exact", "hdr"):
