@@ -208,6 +208,32 @@ def test_pairs_with_seeds_in_common_are_joined_in_rounds_without_their_other_see
     assert len(rounds) == 1 + met // 60 and 0 < max(rounds) < 60 * 15  # not every seed of every occurrence
 
 
+def test_documents_with_a_line_in_common_meet_only_if_words_around_it_agree(spark, monkeypatch):
+    rng = random.Random(15)
+    mk = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    line = mk(20)
+    rows = [(i, " ".join(mk(40) + line + mk(40)), "en", "s", 1) for i in range(60)]
+    want = set()
+    for i in range(6):  # no other run of six words: edits, and words left out, before the line or behind it
+        before, behind = (mk(40), []) if i % 2 else ([], mk(40))
+        edit = lambda ws, n: [w if j % 6 else f"edited{rng.random()}" for j, w in enumerate(ws)] if n % 3 else [w for j, w in enumerate(ws) if j % 6]
+        rows.append((100 + 2 * i, " ".join(mk(30) + before + line + behind + mk(30)), "en", "s", 1))
+        rows.append((101 + 2 * i, " ".join(mk(30) + edit(before, i) + line + edit(behind, i) + mk(30)), "en", "s", 1))
+        want.add((100 + 2 * i, 101 + 2 * i))
+    cut, met = chaining.Scratch.cut, []
+
+    def counted(self, df):
+        out = cut(self, df)
+        if out.columns == ["node", "rep"]:
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(chaining.Scratch, "cut", counted)
+    got = chaining.repeated_passages(make(spark, rows)).collect()
+    assert {tuple(sorted((r["doc_id"], r["partner_id"]))) for r in got} == want
+    assert max(met) <= 6  # of 2556 pairs that share the line
+
+
 def test_edited_passage_of_which_each_seed_stands_in_many_other_documents(spark):
     rng = random.Random(12)
     mk = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
