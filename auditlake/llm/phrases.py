@@ -19,8 +19,10 @@ from auditlake.llm.common import Scratch, mix, slices
 HELD, ROW = 1_000_000, 30_000
 #: Words whose hashes a task remembers.
 KNOWN = 150_000
-#: Words of a shard for each bucket of counts of two-word phrases; the other lengths, of which fewer are active, take eight times as many.
+#: Words of a shard for each bucket of counts. A length has as many phrases as words at most, and the more text, the more of them are active.
 BUCKET = 400_000
+#: Bytes of counts of an Arrow batch: what a task sends at once lies outside of the JVM's heap as a whole, and more of it with more active phrases.
+BATCH = 1_000_000
 #: A-Z lowered, tab as space, the ends of pieces as one mark: no UTF-8 text has that byte.
 _MARK = 0xFF
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else _MARK if c in b".,;:!?\n\v\f\r" else c for c in range(256))
@@ -33,6 +35,22 @@ _MERGED = pa.schema([*_PART, ("over_words", pa.binary()), ("over_count", pa.bina
 _PART_DDL = "lang string, n int, bucket long, words binary, since binary, count binary"
 
 
+def _runs(cuts: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """The ranges between ``cuts``, in pieces of at most ``ROW`` words in phrases of ``n``."""
+    most = max(1, ROW // n)
+    return [(i, min(i + most, stop)) for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for i in range(start, stop, most)]
+
+
+def _batched(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of some ``BATCH`` bytes, whose arrays are bytes or lists."""
+    begin, size = 0, 0
+    for i, r in enumerate(rows, 1):
+        size += sum(len(x) for x in r if isinstance(x, (bytes, list)))
+        if size >= BATCH or i == len(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[begin:i], strict=True), schema, strict=True)], schema=schema)
+            begin, size = i, 0
+
+
 class _Hashes(dict):
     """64-bit hashes of words, 0 for the end of a piece; ``new`` gathers words that were not known."""
 
@@ -71,7 +89,8 @@ def _tokenised(shards: int, salt: str):
                         to = int(ends[k - 1] if k and ends[k - 1] >= at else ends[k]) + 1
                     piece, at = whole[at:to], to
                     given[lang] = (given.get(lang, part - 1) + 1) % shards
-                    new, hashes.new = hashes.new, []
+                    # no more new words than words, so all of them are gone with the last row
+                    new, hashes.new = hashes.new[: len(piece)], hashes.new[len(piece) :]
                     cells = [lang], [given[lang]], [int((piece != 0).sum())], [piece.tobytes()], [[w.decode("utf-8", "replace") for w in new]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, _TOKENS, strict=True)], schema=_TOKENS)
             held.clear()
@@ -119,10 +138,10 @@ def _counted(sieve, step: int, shards: int, longest: int, buckets: int):
         order, first = _grouped(words, acc)
         c = np.diff(np.append(first, len(order)))
         at = order[first]
-        words, since, bucket = words[at], since[at], (acc[at] >> np.uint64(32)) * np.uint64(buckets if n == 2 else 1 + buckets // 8) >> np.uint64(32)
+        words, since, c, bucket = words[at], since[at].astype(np.uint16), c.astype(np.int64), (acc[at] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))  # hashes rise, and buckets with them
-        rows = [(lang, n, int(bucket[i]), words[i:j].tobytes(), since[i:j].astype(np.uint16).tobytes(), c[i:j].astype(np.int64).tobytes(), False) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
+        rows = [(lang, n, int(bucket[i]), words[i:j].tobytes(), since[i:j].tobytes(), c[i:j].tobytes(), False) for i, j in _runs(cuts, n)]
+        yield from _batched(rows, _FOUND)
 
     def count(lang: str, h: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
         table = sieve.value
@@ -186,17 +205,17 @@ def _added(sieve, step: int, shards: int, longest: int, least: int):
             fresh = np.unique(slot[(c >= least) & (old < least) & (sieve.value[n - 1][slot] == 0)])
         over = since.astype(np.int64) + shards - 1 <= step
         done = over & (c >= least)
-        out = [(lang, n, bucket, b"", b"", b"", words[done].tobytes(), c[done].tobytes(), fresh.tolist())]
-        words, since, c = words[~over], since[~over], c[~over]
-        for i in range(0, len(c), ROW):
-            j = slice(i, i + ROW)
-            out.append((lang, n, bucket, words[j].tobytes(), since[j].tobytes(), c[j].tobytes(), b"", b"", []))
+        out = [(lang, n, bucket, b"", b"", b"", b"", b"", fresh.tolist())]
+        w, x = words[done], c[done]
+        out += [(lang, n, bucket, b"", b"", b"", w[i:j].tobytes(), x[i:j].tobytes(), []) for i, j in _runs(np.array([0, len(x)]), n)]
+        w, t, x = words[~over], since[~over], c[~over]
+        out += [(lang, n, bucket, w[i:j].tobytes(), t[i:j].tobytes(), x[i:j].tobytes(), b"", b"", []) for i, j in _runs(np.array([0, len(x)]), n)]
         return out
 
     def run(table: pa.Table) -> pa.Table:
         n, bucket, lang = table["n"][0].as_py(), table["bucket"][0].as_py(), table["lang"].combine_chunks().dictionary_encode()
         rows = [r for k, x in enumerate(lang.dictionary.to_pylist()) for r in added(x, n, bucket, table.filter(pc.equal(lang.indices, k)))]
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _MERGED, strict=True)], schema=_MERGED)
+        return pa.Table.from_batches(_batched(rows, _MERGED), _MERGED)
 
     return run
 
@@ -234,6 +253,7 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = 100, longes
 
     Counts travel as arrays, one for each language, length and range of hashes, so that a shuffle has
     few rows; a task adds each of its counts up before it sends them, so frequent phrases are no load.
+    Arrays, batches and ranges are bounded whatever the size of the corpus and the share of active phrases.
 
     Returns ``(lang, key, f)``, the key being the hashes of the words (8 bytes each), ``(w, word)``
     and ``(lang, n)``, the words of each language in all.
@@ -244,8 +264,8 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = 100, longes
 
 @contextmanager
 def _settings(spark: SparkSession) -> Iterator[None]:
-    """Rows of hashed words are long: batches for tasks are bounded by bytes too, and tables packed tighter."""
-    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": "8388608", "spark.sql.parquet.compression.codec": "zstd"}
+    """Rows of hashed words are long: batches for tasks are bounded by bytes too, few rows of a table are read at once, and tables packed tighter."""
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": "2097152", "spark.sql.parquet.columnarReaderBatchSize": "64", "spark.sql.parquet.compression.codec": "zstd"}
     before = {n: spark.conf.get(n, None) for n in wanted}
     for n, v in wanted.items():
         spark.conf.set(n, v)

@@ -239,3 +239,22 @@ def test_a_slot_written_early_does_not_cut_a_count():
                 if r["n"] == 3:
                     steps[step] = np.frombuffer(r["since"], np.uint16).tolist()
     assert steps == {5: [5], 6: [5], 7: [5]}  # one cycle, every shard once
+
+
+def test_counts_travel_in_small_batches():
+    """However many phrases are active, what a task sends at once is bounded, and so are the ranges of long phrases."""
+    rng = np.random.default_rng(3)
+    h = np.append(rng.integers(1, 2**63, 200_000).astype(np.uint64), np.uint64(0))
+    known = type("Sent", (), {"value": np.ones((4, 1024), np.uint8)})  # all are active since step 1
+    sent = [b for b in phrases._counted(known, 1, 3, 5, 8)(iter([pa.record_batch({"lang": ["en"], "tokens": pa.array([h.tobytes()], pa.binary())})]))]
+    assert max(b.nbytes for b in sent) < 2_000_000
+    rows = [r for b in sent for r in b.to_pylist()]
+    assert max(len(r["words"]) for r in rows) <= 8 * phrases.ROW
+    for n in range(1, 6):
+        own = [r for r in rows if r["n"] == n]
+        assert {r["bucket"] for r in own} == set(range(8))
+        assert sum(int(np.frombuffer(r["count"], np.int64).sum()) for r in own) == 200_001 - n
+    for step, column in ((1, "words"), (3, "over_words")):  # phrases that go on, and those whose cycle is over
+        got = phrases._added(known, step, 3, 5, 1)(pa.Table.from_pylist([r for r in rows if r["n"] == 5], schema=phrases._FOUND))
+        assert sum(map(len, got[column].to_pylist())) == 40 * 199_996
+        assert max(b.nbytes for b in got.to_batches()) < 2_000_000 and max(map(len, got[column].to_pylist())) <= 8 * phrases.ROW
