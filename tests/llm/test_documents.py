@@ -234,6 +234,34 @@ def test_documents_with_a_line_in_common_meet_only_if_words_around_it_agree(spar
     assert max(met) <= 6  # of 2556 pairs that share the line
 
 
+def test_documents_that_repeat_one_word_meet_only_if_words_around_it_agree(spark, monkeypatch):
+    rng = random.Random(16)
+    mk = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [(i, " ".join(mk(40) + ["spam"] * rng.randint(14, 38) + mk(40)), "en", "s", 1) for i in range(60)]
+    want = set()
+    for i in range(8):  # no other run of six words: edits before the repetition, behind it or on both sides, and repetitions of two lengths
+        before, behind = mk(40) if i % 3 < 2 else [], mk(40) if i % 3 else []
+        edit = lambda ws: [w if j % 6 else f"edited{rng.random()}" for j, w in enumerate(ws)]
+        rows.append((100 + 2 * i, " ".join(mk(30) + before + ["spam"] * 16 + behind + mk(30)), "en", "s", 1))
+        rows.append((101 + 2 * i, " ".join(mk(30) + edit(before) + ["spam"] * (16 + i) + edit(behind) + mk(30)), "en", "s", 1))
+        want.add((100 + 2 * i, 101 + 2 * i))
+    # two repetitions in one document are one in the other
+    rows += [(200, " ".join(mk(30) + ["spam"] * 25 + mk(1) + ["spam"] * 25 + mk(30)), "en", "s", 1), (201, " ".join(mk(30) + ["spam"] * 51 + mk(30)), "en", "s", 1)]
+    want.add((200, 201))
+    cut, met = chaining.Scratch.cut, []
+
+    def counted(self, df):
+        out = cut(self, df)
+        if out.columns == ["node", "rep"]:
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(chaining.Scratch, "cut", counted)
+    got = chaining.repeated_passages(make(spark, rows)).collect()
+    assert {tuple(sorted((r["doc_id"], r["partner_id"]))) for r in got} == want
+    assert max(met) <= 100  # of 3003 pairs that repeat the word, those with document 200 and a few more
+
+
 def test_edited_passage_of_which_each_seed_stands_in_many_other_documents(spark):
     rng = random.Random(12)
     mk = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
